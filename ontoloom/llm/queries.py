@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ontoloom.llm import format_dups, mixing, tokens
+from pyspark.sql import functions as F
+
+from ontoloom.llm import entities, format_dups, mixing, pairs, tokens, toxicity
 from ontoloom.session import table
 
 
@@ -31,5 +33,35 @@ def p8_shares(spark, d):
     return mixing.shares(*_mix(spark, d))
 
 
-QUERIES = {"p3_found": p3_found, "p3_queries": p3_queries, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def p4_found(spark, d):
+    return entities.found(table(spark, d, "onto_concept"))
+
+
+def p4_matches(spark, d):
+    m = entities.match(table(spark, d, "onto_concept"))
+    return m.withColumn("confidence", F.round("confidence", 4))
+
+
+def p5_found(spark, d):
+    return pairs.defects(table(spark, d, "qa_dataset"), table(spark, d, "condition_result"))
+
+
+def p5_rates(spark, d):
+    return p5_found(spark, d).groupBy("pair_table", "defect").agg(F.count(F.lit(1)).alias("n_pairs"))
+
+
+def p9_found(spark, d):
+    return toxicity.found(table(spark, d, "documents"), table(spark, d, "toxicity_labels"))
+
+
+def p9_scores(spark, d):
+    return toxicity.scored(table(spark, d, "documents"), table(spark, d, "toxicity_labels"))
+
+
+def p9_rates(spark, d):
+    return toxicity.rates(p9_scores(spark, d))
+
+
+QUERIES = {"p3_found": p3_found, "p3_queries": p3_queries, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+#: These problems need canonical parsing, learned models or tokenizers, which SQL can't express; tests/llm holds brute-force, round-trip and held-out checks.
 ORACLE: dict[str, str] = {}
