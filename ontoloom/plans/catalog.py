@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from ontoloom.plans import records
+from ontoloom.plans import reasoning, records, tables, texts
 
-QUERIES = {**records.QUERIES}
-ORACLE = {**records.ORACLE}
-FLAGSHIP = records.p6_found
+_PARTS = [records, texts, tables, reasoning]
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLE = {k: v for p in _PARTS for k, v in p.ORACLE.items()}
+FLAGSHIP = reasoning.inherited_geo
