@@ -216,4 +216,4 @@ def canonical(sql: str | None) -> str | None:
     if sql is None:
         return None
     t = tokens(sql)
-    return " ".join(statement(t)) if t else None
+    return " ".join(x for x in statement(t) if x) if t else None

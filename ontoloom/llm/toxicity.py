@@ -233,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rate = (n + 0.5) / (n_docs + 1)
     smooth = t + PRIOR_DOCS * rate
     odds = np.log(smooth / (n_tox + SEED_DOCS + PRIOR_DOCS)) - np.log(rate) - 1 / np.sqrt(smooth)
-    expect = n_tox * rate
+    expect = max(n_tox, 0.1) * rate
     surprise = 2 * (t * np.log(np.maximum(t, 1e-9) / expect) - (t - expect))  # likelihood ratio of the toxic documents' count against the rate over all
     keep = (odds > LEAST) & ((surprise > SURPRISE) | np.isin(keys, seeds))
     m = Model(keys[keep], np.minimum(odds[keep], 3.0))
