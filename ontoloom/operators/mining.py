@@ -15,17 +15,17 @@ GENERIC = "系统 方法 数据 信息 记录 内容 事物 对象 实体 类型
 STOP_CHARS = "的了是在和与或也都但而如为对从到向由以于按据"
 
 _T = r"[^，。；、！？：,.;!?:\n]"
-#: Is-a patterns with the places of child and parent; the tail runs to the next punctuation.
+#: Is-a patterns with the places of child and parent, confidence and the cue that any match holds; the tail runs to the next punctuation.
 HEARST = {
-    "cn_kind": (rf"({_T}{{2,20}}?)是一(?:种|个|类)({_T}{{2,20}})", 1, 2, 0.95),
-    "cn_belongs": (rf"({_T}{{2,20}}?)属于({_T}{{2,20}}?)(?:范畴|类别|大类)", 1, 2, 0.95),
-    "cn_subclass": (rf"({_T}{{2,20}}?)是({_T}{{2,20}}?)的子类", 1, 2, 0.95),
-    "cn_one_of": (rf"({_T}{{2,20}}?)是({_T}{{2,20}}?)的一(?:种|个|类)", 1, 2, 0.95),
-    "cn_includes": (rf"({_T}{{2,20}}?)包括({_T}{{2,20}})", 2, 1, 0.95),
-    "cn_divides": (rf"({_T}{{2,20}}?)分为({_T}{{2,20}})", 2, 1, 0.95),
-    "en_kind_of": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) is an? kind of ([A-Za-z][A-Za-z0-9_ ]{1,40})", 1, 2, 0.90),
-    "en_such_as": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) such as ([A-Za-z][A-Za-z0-9_ ]{1,40})", 2, 1, 0.90),
-    "en_including": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) including ([A-Za-z][A-Za-z0-9_ ]{1,40})", 2, 1, 0.90),
+    "cn_kind": (rf"({_T}{{2,20}}?)是一(?:种|个|类)({_T}{{2,20}})", 1, 2, 0.95, "是一"),
+    "cn_belongs": (rf"({_T}{{2,20}}?)属于({_T}{{2,20}}?)(?:范畴|类别|大类)", 1, 2, 0.95, "属于"),
+    "cn_subclass": (rf"({_T}{{2,20}}?)是({_T}{{2,20}}?)的子类", 1, 2, 0.95, "的子类"),
+    "cn_one_of": (rf"({_T}{{2,20}}?)是({_T}{{2,20}}?)的一(?:种|个|类)", 1, 2, 0.95, "的一"),
+    "cn_includes": (rf"({_T}{{2,20}}?)包括({_T}{{2,20}})", 2, 1, 0.95, "包括"),
+    "cn_divides": (rf"({_T}{{2,20}}?)分为({_T}{{2,20}})", 2, 1, 0.95, "分为"),
+    "en_kind_of": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) is an? kind of ([A-Za-z][A-Za-z0-9_ ]{1,40})", 1, 2, 0.90, " kind of "),
+    "en_such_as": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) such as ([A-Za-z][A-Za-z0-9_ ]{1,40})", 2, 1, 0.90, " such as "),
+    "en_including": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) including ([A-Za-z][A-Za-z0-9_ ]{1,40})", 2, 1, 0.90, " including "),
 }
 #: The patterns of triggers, operations, flows, permissions, derivations and limits.
 TIMEOUT = rf"如果[^，。]*?在(\d+[小时天分钟]+)内未({WORD}+)[，,][^\n]*?[将则]自动({WORD}+)"
@@ -58,12 +58,22 @@ def concepts(found: DataFrame) -> DataFrame:
 
 
 def hearst(docs: DataFrame, patterns: dict = HEARST) -> DataFrame:
-    """(child, parent, confidence, n_docs) over all patterns; links of a name to itself are left out."""
-    out = None
-    for p, child, parent, conf in patterns.values():
-        f = _finds(docs, p, child, parent).select("doc_id", F.col("g1").alias("child"), F.col("g2").alias("parent"), F.lit(conf).alias("confidence"))
-        out = f if out is None else out.unionByName(f)
-    good = out.where("length(child) >= 2 and length(parent) >= 2 and child != parent")
+    """(child, parent, confidence, n_docs) over all patterns; links of a name to itself are left out.
+
+    No match crosses punctuation, so texts are cut there first and only pieces with a pattern's cue are searched, all patterns in one scan."""
+    piece = F.col("piece")
+    none = F.array().cast("array<struct<child:string,parent:string,confidence:double>>")
+    found = []
+
+    def link(conf: float):
+        return lambda m: F.struct(trim(m["g1"]).alias("child"), trim(m["g2"]).alias("parent"), F.lit(conf).alias("confidence"))
+
+    for p, child, parent, conf, cue in patterns.values():
+        found.append(F.when(F.contains(piece, F.lit(cue)), F.transform(captures(piece, p, child, parent), link(conf))).otherwise(none))
+    any_cue = "|".join(x[4] for x in patterns.values())
+    pieces = docs.where("text is not null").select("doc_id", F.explode(F.split("text", _T.replace("[^", "[")).alias("pieces")).alias("piece")).where(piece.rlike(any_cue))
+    links = pieces.select("doc_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "m.*")
+    good = links.where("length(child) >= 2 and length(parent) >= 2 and child != parent")
     return good.groupBy("child", "parent").agg(F.max("confidence").alias("confidence"), F.count_distinct("doc_id").alias("n_docs"))
 
 

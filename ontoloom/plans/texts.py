@@ -65,7 +65,7 @@ _PHRASES = f"""with r as (select doc_id, unnest(regexp_extract_all(text, '([一-
 c as (select doc_id, term, count(*) n from r where term not in ({_GENERIC}) and not regexp_matches(term, '[{mining.STOP_CHARS}]') group by all),
 k as (select *, row_number() over (partition by doc_id order by n desc, term) rk, count(*) over (partition by doc_id) dt from c)
 select doc_id, term, n, round(least(0.4 + 0.1 * n, 0.8), 6) as confidence from k where rk <= 50 and (n >= 2 or dt <= 20)"""
-_HEARST = "select child, parent, max(confidence) as confidence, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, g1 child, g2 parent, {c}::double confidence from {_finds_sql(p, a, b)}" for p, a, b, c in mining.HEARST.values()) + ") where length(child) >= 2 and length(parent) >= 2 and child <> parent group by child, parent"
+_HEARST = "select child, parent, max(confidence) as confidence, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, g1 child, g2 parent, {c}::double confidence from {_finds_sql(p, a, b)}" for p, a, b, c, _ in mining.HEARST.values()) + ") where length(child) >= 2 and length(parent) >= 2 and child <> parent group by child, parent"
 _TRIGGERS = f"""select name, event_type, event_detail, condition_expression, action_detail, count(distinct doc_id) as n_docs from (
  select doc_id, '超时' || g3 name, 'time_based' event_type, '超过' || g1 event_detail, '未' || g2 condition_expression, g3 action_detail from {_finds_sql(mining.TIMEOUT, 1, 2, 3)}
  union all select doc_id, g1 || '后' || g2, 'status_transition', g1 || '完成', g1 || '成功', g2 from {_finds_sql(mining.POST_ACTION, 1, 2)}) group by all"""
