@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions.ids import strip
@@ -113,5 +113,5 @@ def shares(sizes: DataFrame, planned: list[dict], seed: int = SEED) -> DataFrame
     out = copies(sizes, planned, seed).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_copies")).alias("tokens_out"), F.sum("n_copies").cast("bigint").alias("docs_out"), F.max("n_copies").cast("int").alias("most_repeats"))
     base = spark.createDataFrame([(w["source"], float(w["target_share"]), int(w["max_repeats"]), w["docs"], w["tokens"], float(w["rate"])) for w in planned], "source string, target_share double, max_repeats int, docs_in bigint, tokens_in bigint, rate double")
     j = F.broadcast(base).join(out, "source", "left").fillna(0, ["tokens_out", "docs_out", "most_repeats"])
-    total = out.agg(F.sum("tokens_out").alias("all_tokens"))
-    return j.join(F.broadcast(total)).withColumn("actual_share", F.coalesce(F.col("tokens_out") / F.nullif(F.col("all_tokens"), F.lit(0)), F.lit(0.0))).drop("all_tokens")
+    total = F.sum("tokens_out").over(Window.partitionBy(F.lit(0)))  # as many rows as there are targets
+    return j.withColumn("actual_share", F.coalesce(F.col("tokens_out") / F.nullif(total, F.lit(0)), F.lit(0.0)))
