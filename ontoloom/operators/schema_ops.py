@@ -162,11 +162,11 @@ def stats(parts: dict[str, tuple[DataFrame, str]]) -> DataFrame:
 
 def cardinality(pairs: DataFrame) -> DataFrame:
     """(max_b_per_a, max_a_per_b, cardinality) of a relation given by its pairs (a, b)."""
-    p = pairs.select("a", "b").distinct()
-    x = p.groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("max_b_per_a"))
-    y = p.groupBy("b").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("max_a_per_b"))
+    sides = F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a").alias("k")), F.struct(F.lit("b").alias("side"), F.col("b").alias("k"))))
+    n = pairs.select("a", "b").distinct().select(sides.alias("x")).groupBy("x.side", "x.k").agg(F.count(F.lit(1)).alias("n"))
+    most = n.agg(F.max(F.when(F.col("side") == "a", F.col("n"))).alias("max_b_per_a"), F.max(F.when(F.col("side") == "b", F.col("n"))).alias("max_a_per_b"))
     c = F.concat(F.when(F.col("max_a_per_b") > 1, "N").otherwise("1"), F.lit(":"), F.when(F.col("max_b_per_a") > 1, F.when(F.col("max_a_per_b") > 1, "M").otherwise("N")).otherwise("1"))
-    return x.join(F.broadcast(y)).withColumn("cardinality", c)
+    return most.withColumn("cardinality", c)
 
 
 def relation_kind(a: Column, b: Column, reason: Column) -> Column:
