@@ -123,3 +123,36 @@ def limits(docs: DataFrame) -> DataFrame:
     a = _finds(docs, LIMIT_DIGITS, 1, 2).withColumn("kind", F.lit("digits"))
     b = _finds(docs, LIMIT_LENGTH, 1, 2).withColumn("kind", F.lit("max_length"))
     return a.unionByName(b).groupBy(F.col("g1").alias("subject"), "kind", F.expr("try_cast(g2 as bigint)").alias("bound")).agg(F.count_distinct("doc_id").alias("n_docs"))
+
+
+#: Sequences that name a role.
+ROLES = rf"((?:VIP)?{HAN}{{0,4}}(?:管理员|管理人|客户|主管|人员|代理商))"
+
+
+def subjects(docs: DataFrame, configured: DataFrame) -> DataFrame:
+    """(name, origin, parent, n_docs): configured subjects (name, parent; an unknown parent is dropped) and roles found in texts that aren't configured, of 2 to 10 characters."""
+    names = configured.select(F.col("name").alias("parent"), F.lit(True).alias("known")).distinct()
+    conf = configured.select("name", "parent").join(names, "parent", "left").select("name", F.lit("config").alias("origin"), F.when(F.col("known"), F.col("parent")).alias("parent"), F.lit(0).cast("bigint").alias("n_docs"))
+    text = _finds(docs, ROLES, 1).where("length(g1) between 2 and 10").groupBy(F.col("g1").alias("name")).agg(F.count_distinct("doc_id").alias("n_docs")).join(configured.select("name"), "name", "left_anti")
+    return conf.unionByName(text.select("name", F.lit("text").alias("origin"), F.lit(None).cast("string").alias("parent"), "n_docs"))
+
+
+def triggers_of_rules(atoms: DataFrame) -> DataFrame:
+    """(rule_id, event_type, condition_expression, action_detail): rules with a comparison of a time or date become time_based triggers.  atoms: rule_id, part, predicate, variables."""
+    text = F.concat("predicate", F.lit("("), F.array_join("variables", ", "), F.lit(")"))
+    timed = (F.col("part") == "body") & F.col("predicate").isin("swrlb:greaterThan", "swrlb:lessThan") & F.exists("variables", lambda v: F.lower(v).rlike("time|date"))
+    join = lambda part: F.array_join(F.array_sort(F.collect_list(F.when(F.col("part") == part, text))), " AND ")
+    g = atoms.groupBy("rule_id").agg(F.bool_or(timed).alias("timed"), join("body").alias("condition_expression"), join("head").alias("action_detail"))
+    return g.where("timed").select("rule_id", F.lit("time_based").alias("event_type"), "condition_expression", "action_detail")
+
+
+def complete_comments(columns: DataFrame, guesses: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(table_name, column_name, comment, confidence): a model's guess (table_name, column_name, comment) for columns without comment, checked against a dictionary (column_name, comment): Jaccard of their characters over 0.7 is 0.9, else 0.3, without entry 0.6; no guess leaves 0 and an empty comment; a given comment stays with 1."""
+    chars = lambda c: F.array_distinct(F.split(F.col(c), ""))
+    d = dictionary.select("column_name", F.col("comment").alias("known"))
+    g = guesses.select("table_name", "column_name", F.col("comment").alias("guess"))
+    j = columns.join(g, ["table_name", "column_name"], "left").join(d, "column_name", "left")
+    sim = F.size(F.array_intersect(chars("guess"), chars("known"))) / F.size(F.array_union(chars("guess"), chars("known")))
+    given = F.coalesce("comment", F.lit("")) != ""
+    conf = F.when(given, 1.0).when(F.coalesce("guess", F.lit("")) == "", 0.0).when(F.col("known").isNull(), 0.6).when(sim > 0.7, 0.9).otherwise(0.3)
+    return j.select("table_name", "column_name", F.when(given, F.col("comment")).otherwise(F.coalesce("guess", F.lit(""))).alias("comment"), conf.alias("confidence"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions.formula import compile_formula
 from ontoloom.functions.ids import norm_id
 from ontoloom.operators import concepts as con
-from ontoloom.operators import enrich, graph, hierarchy, reason
+from ontoloom.operators import context, enrich, graph, hierarchy, mining, reason
 from ontoloom.operators import schema_ops as so
 from ontoloom.plans.records import _P6, _id
 from ontoloom.session import cut, table
@@ -376,7 +376,40 @@ def inbox(s, d):
     return enrich.inbox(s.createDataFrame(MESSAGES, "pos bigint, sender string, recipient string, text string"), "curator")
 
 
+def relevance_topk(s, d):
+    """Search: the questions whose number is divisible by 100, against all concepts."""
+    q = table(s, d, "qa_dataset").where("cast(substring(id, 2) as bigint) % 100 = 0").groupBy(F.col("id").alias("question_id")).agg(F.max("question").alias("question"))
+    return context.relevance(q, concepts(s, d))
+
+
+def relevant_slice(s, d):
+    return context.surroundings(relevance_topk(s, d), _closure(s, d)).withColumn("how", F.col("how").cast("bigint"))
+
+
+def context_text(s, d):
+    l = hierarchy.links(table(s, d, "taxonomy_node"))
+    return context.as_text(relevant_slice(s, d), concepts(s, d), l, relations(s, d))
+
+
+#: Configured subjects of the sample.
+SUBJECTS = [("管理员", None), ("VIP客户", "普通客户"), ("普通客户", None), ("代理商", "无此人")]
+
+
+def perm_subjects(s, d):
+    return mining.subjects(table(s, d, "documents"), s.createDataFrame(SUBJECTS, "name string, parent string"))
+
+
+TIMED = [(1, "body", "Order", ["o"]), (1, "body", "swrlb:greaterThan", ["payTime", "limit"]), (1, "head", "Cancelled", ["o"]), (2, "body", "swrlb:greaterThan", ["amount", "limit"]), (2, "head", "Big", ["o"])]
+_REL20 = _BASE + """, q as (select id question_id, lower(max(question)) q from qa_dataset where substring(id, 2)::bigint % 100 = 0 group by 1),
+x as (select question_id, con.id, (case when length(name) >= 2 and contains(q, lower(name)) then 5 else 0 end + 3 * len(list_filter(aliases, lambda a: length(a) >= 2 and contains(q, lower(a)))) + case when len(list_filter(list_transform(range(1, greatest(length(replace(description, chr(1), '')), 1)), lambda i: substring(lower(replace(description, chr(1), '')), i, 2)), lambda g: contains(q, g))) > 0 then 1 else 0 end) score from q, con),
+rel20 as (select question_id, id, score from (select *, row_number() over (partition by question_id order by score desc, id desc) r from x where score > 0) where r <= 20)"""
+
 QUERIES = {
+    "relevance_topk": relevance_topk,
+    "relevant_slice": relevant_slice,
+    "context_text": context_text,
+    "perm_subjects": perm_subjects,
+    "triggers_swrl": lambda s, d: mining.triggers_of_rules(s.createDataFrame(TIMED, "rule_id bigint, part string, predicate string, variables array<string>")),
     "closure_geo": closure_geo,
     "inherited_relations_geo": inherited_geo,
     "closure_taxonomy": _closure,
@@ -436,7 +469,16 @@ QUERIES = {
     "message_inbox": inbox,
 }
 _OWN = f"(select distinct {_id('domain_concept_id')} id from onto_property)"
+_SLICE = _ALL + _REL20[_REL20.index(", q as"):] + """, near as (select anc, id from (select anc, id, row_number() over (partition by anc order by dist, id) r from up where dist > 0) where r <= 5),
+every as (select question_id, id, min(how) how from (select question_id, id, 0 how from rel20 union all select question_id, up.anc, 1 from rel20 join up on up.id = rel20.id and up.dist > 0 union all select question_id, near.id, 2 from rel20 join near on near.anc = rel20.id) group by 1, 2),
+slice as (select question_id, id, how from (select *, row_number() over (partition by question_id order by how, id) r from every) where r <= 40)"""
+_ROLE_SQL = mining.ROLES.replace("'", "''")
 ORACLE = {
+    "relevance_topk": _REL20 + " select * from rel20",
+    "relevant_slice": _SLICE + " select * from slice",
+    "context_text": _SLICE + ", lines as (select question_id, 1 o, 'concept: ' || name line from slice join con using (id) union select question_id, 2, slice.id || ' is a ' || l.parent from slice join l using (id) where l.parent is not null union select question_id, 3, rel.domain || ' ' || rel.name || ' ' || coalesce(rel.range, '?') from slice join rel on rel.domain = slice.id) select question_id, string_agg(line, chr(10) order by o, line) as context from lines where line is not null group by 1",
+    "perm_subjects": f"with c as (select * from {_values(SUBJECTS)} v(name, parent)), f as (select doc_id, unnest(regexp_extract_all(text, '{_ROLE_SQL}', 1)) name from documents where text is not null) select name, 'config' as origin, case when parent in (select name from c) then parent end as parent, 0 as n_docs from c union all select name, 'text', null, count(distinct doc_id) from f where length(name) between 2 and 10 and name not in (select name from c) group by 1",
+    "triggers_swrl": "select 1 as rule_id, 'time_based' as event_type, 'Order(o) AND swrlb:greaterThan(payTime, limit)' as condition_expression, 'Cancelled(o)' as action_detail",
     "closure_geo": _GEO + "select child, ancestor, min(distance) as distance from c group by 1, 2",
     "inherited_relations_geo": _GEO + "select c.child, count(*) as n_relations, min(distance) as nearest from c join (select 'r' || r_regionkey a from region union all select 'n' || n_nationkey from nation) r on r.a = c.ancestor where c.child like 'c%' group by 1",
     "closure_taxonomy": _ALL + "select id as descendant, anc as ancestor, dist as distance from up where dist > 0",

@@ -210,3 +210,11 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.event_type, r.trigger, r.n) for r in spark.table("fired").collect()] == [("purchase", "buy", 2)]
+
+
+def test_complete_comments(spark):
+    cols = spark.createDataFrame([("t", "a", "given"), ("t", "b", ""), ("t", "c", None), ("t", "d", None), ("t", "e", None)], "table_name string, column_name string, comment string")
+    guess = spark.createDataFrame([("t", "b", "客户编号"), ("t", "c", "金额"), ("t", "d", "备注")], "table_name string, column_name string, comment string")
+    known = spark.createDataFrame([("b", "客户编号"), ("c", "城市名称")], "column_name string, comment string")
+    got = {r.column_name: (r.comment, r.confidence) for r in mining.complete_comments(cols, guess, known).collect()}
+    assert got == {"a": ("given", 1.0), "b": ("客户编号", 0.9), "c": ("金额", 0.3), "d": ("备注", 0.6), "e": ("", 0.0)}
