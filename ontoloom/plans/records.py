@@ -69,7 +69,31 @@ t as (select id, parent, id root, 0 depth, id path from l where parent is null
   union all select l.id, l.parent, t.root, t.depth + 1, t.path || '/' || l.id from l join t on l.parent = t.id)
 """
 
+
+
+def _list(x: str) -> str:
+    """SQL list of the elements that a JSON value stands for."""
+    inner = f"(case when json_type({x}) = 'VARCHAR' and json_valid({x} ->> '$') then {x} ->> '$' else 'null' end)::json"
+    of = lambda v: f"case json_type({v}) when 'ARRAY' then json_extract({v}, '$[*]') when 'OBJECT' then [{v}] else []::json[] end"
+    return f"case when json_type({x}) = 'VARCHAR' then {of(inner)} else {of(x)} end"
+
+
+def _p1(outer: str, via: str, inner: str, label: str, kind: str) -> str:
+    return f"""select distinct report_id, '{kind}' as child_kind, (i - 1)::integer as parent_pos, (j - 1)::integer as pos, coalesce(case when json_type(e[j], '$.{label}') = 'NULL' then null else json_extract_string(e[j], '$.{label}') end, '') as label
+ from (select report_id, i, e, unnest(range(1, len(e) + 1)) j from (select report_id, i, {_list(f"json_extract(o[i], '$.{via}.{inner}')")} e
+ from (select report_id, o, unnest(range(1, len(o) + 1)) i from (select report_id, {_list(f"json_extract(p, '$.{outer}')")} o from r)))) where json_type(e[j]) <> 'NULL'"""
+
+
+_P1 = "with r as (select report_id, payload::json p from report_raw where payload is not null and json_valid(payload)) " + _p1("scenarios", "result", "proof_chain", "rule", "proof_step") + " union all " + _p1("steps", "output", "checks", "concept", "check")
+_P6_FOUND = _P6.rstrip() + """, rest as (select id, parent from l where id not in (select id from t)),
+w as (select id as start, id as at_, [id] path from rest union all select w.start, r.parent, list_append(w.path, r.parent) from w join rest r on r.id = w.at_ where not list_contains(w.path, r.parent)),
+far as (select start, arg_max(path, len(path)) path, arg_max(at_, len(path)) at_ from w group by 1),
+e as (select start, path, list_position(path, r.parent) k from far join rest r on r.id = far.at_)
+select id as concept_id, 'tree' as state, root as root_id, depth from t union all select start, case when k = 1 then 'cycle' else 'hanging' end, list_min(path[k:]), (k - 1)::integer from e"""
+
 ORACLE = {
+    "p1_found": _P1,
+    "p6_found": _P6_FOUND,
     "p2_found": _P2 + "select * from found where reason is not null",
     "p2_report": _P2 + "select ref_table, ref_field, period, reason, count(*) n_refs from found where reason is not null group by all",
     "p6_paths": _P6 + "select id concept_id, path from t",
