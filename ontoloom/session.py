@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,5 +61,25 @@ def discard(*dfs: DataFrame | None) -> None:
                 path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the session's Python workers, wherever they run and whatever their path: once per application, as a zip that Spark serves to its executors."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    home = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="ontoloom-zip-")  # on the driver, which serves it as long as the application runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = f"{folder}/{home.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f"{home.name}/{f.relative_to(home)}")
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
