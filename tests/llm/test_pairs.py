@@ -1,3 +1,5 @@
+import itertools
+import random
 from datetime import datetime as D
 
 import pytest
@@ -45,6 +47,35 @@ def test_lcs_of_openings():
     assert set(pr.bands(a)) == set(pr.bands(a)) and len(pr.bands(a)) == pr.BANDS
 
 
+def test_clusters_against_all_pairs(spark):
+    """Openings of random words, each with some changed at the ends or in one place: a bucket's least member is often foreign or similar to some only."""
+    r = random.Random(3)
+    texts = {"a b c d e", "z", "z z", "q q q q q q q", "q q q q q q"}
+    for _ in range(60):
+        u = [r.choice("abcdefghij") + r.choice("xyz") for _ in range(14)]
+        for _ in range(12):
+            v = list(u)
+            for _ in range(r.randint(0, 3)):
+                v[r.choice([0, 1, 12, 13, r.randrange(14)])] = r.choice("klmn")
+            texts.add(" ".join(v[: r.randint(8, 14)]))
+    texts = sorted(texts)
+    root = {x: x for x in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in itertools.combinations(texts, 2):
+        keys = {(k["twin"], k["side"]) for k in pr.twin_keys(x)}, {(k["twin"], -k["side"]) for k in pr.twin_keys(y)}
+        assert pr.similar(x, y) == bool(keys[0] & keys[1])
+        if pr.similar(x, y):
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+    got = {c.opening: c.cluster for c in pr.clusters(spark.createDataFrame([(x,) for x in texts], "opening string")).collect()}
+    assert got == {x: find(x) for x in texts}
+
+
 def corpus(spark):
     cats = ["a", "b", "c", "d"]
     qa = [(f"q{i}", f"第{i}号甲仓冷链订单的状态有哪些取值？", cats[i % 4], f"取值包括待处理、处理中、已完成。第{i}号甲仓冷链订单初始为待处理。相关负责部门为财务组" + "。" * (i % 2)) for i in range(60)]
