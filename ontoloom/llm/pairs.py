@@ -38,6 +38,7 @@ LEAST_KINDS = 3
 MOST_OF_ONE_KIND = 0.6
 ENDS = 0.05
 RECURS = 3
+SHORT = 12
 
 #: What stands in for an answer.
 STAND_INS = set("na none null nan nil undefined empty 空 无回答 无答案 暂无 暂无回答 暂无答案 待补充 待填写 未作答 未回答 没有回答 noanswer tbd todo blank missing notavailable 空白 无内容 答案缺失".split())
@@ -192,6 +193,26 @@ def opening(units: list[str]) -> list[str]:
     return [x for x in words if x != "\n"][:OPENING_UNITS]
 
 
+def template(collapsed: list[str], last: list[str]) -> int:
+    """Key of what an answer begins with: the masked units, at most SHORT, and the last units written out, so a run cut short is another key."""
+    return _h([*collapsed, "\x03", *last])
+
+
+def stands(units: list[str]) -> Iterator[tuple[int, bool]]:
+    """(template, whether a stop or the answer's end follows) of each beginning of an answer, given its masked units."""
+    collapsed: list[str] = []
+    last: list[str] = []
+    for i, x in enumerate(units):
+        if x[0] != TAKEN:
+            collapsed.append(x)
+            if len(collapsed) > SHORT:
+                return
+        if x != "E":
+            last = [*last, *shown([x])][-3:]
+            rest = units[i + 1 : i + 3]
+            yield template(collapsed, last), not rest or rest[0] in _STOP or rest[0] == "." and rest[1:] != ["0"]
+
+
 FEATURES = "pair_table string, row_id string, kind string, question_key bigint, simple string, declines boolean, opening string, whole bigint, short boolean, t3 bigint, t2 bigint"
 
 
@@ -214,8 +235,9 @@ def features(p: DataFrame) -> DataFrame:
                 if not simple and other_language(q, a):
                     simple = "other_language"
                 rest = [] if simple or bracketed(a) else sentences(shown(u))[1]
+                last = shown(u)[-3:]
                 u = collapse(u)
-                row = (_h([plain(q or "")]), simple, bool(a and DECLINES.search(unicodedata.normalize("NFKC", a))), " ".join(opening(u)), _h(u), len(u) <= 12, tail(rest, 3) if rest else None, tail(rest, 2) if rest else None)
+                row = (_h([plain(q or "")]), simple, bool(a and DECLINES.search(unicodedata.normalize("NFKC", a))), " ".join(opening(u)), template(u, last), len(u) <= SHORT, tail(rest, 3) if rest else None, tail(rest, 2) if rest else None)
                 for c, v in zip(cols, row):
                     c.append(v)
             kinds = (pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
@@ -225,13 +247,16 @@ def features(p: DataFrame) -> DataFrame:
 
 
 def ending_counts(p: DataFrame) -> DataFrame:
-    """(h, ends, mids): how often each run of two or three units ends a sentence and how often it stands inside one, over all answers."""
+    """(h, ends, mids): how often each run of two or three units ends a sentence and how often it stands inside one, over all answers; likewise how often each template is a whole answer or sentence and how often it goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[int, list[int]] = {}
             for q, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                done, rest = sentences(shown(masked(q or "", a or "")))
+                units = masked(q or "", a or "")
+                for h, ended in stands(units):
+                    seen.setdefault(h, [0, 0])[0 if ended else 1] += 1
+                done, rest = sentences(shown(units))
                 for s, ended in [*((x, True) for x in done), (rest, False)]:
                     for n in (2, 3):
                         padded = ["^"] * (n - 1) + s
@@ -354,7 +379,8 @@ def defects(qa: DataFrame, results: DataFrame) -> DataFrame:
     f = cut(features(p))
     refusals = refusal_templates(f).withColumn("refuses", F.lit(True))
     counts = cut(ending_counts(p))
-    recurring = f.where("simple = '' and short and t3 is not null").groupBy("whole").agg(F.count_distinct("question_key").alias("prompts")).where(F.col("prompts") >= RECURS).select("whole", F.lit(True).alias("recurs"))
+    often = f.where("simple = '' and short and t3 is not null").groupBy("whole").agg(F.count_distinct("question_key").alias("prompts")).where(F.col("prompts") >= RECURS)
+    recurring = often.join(counts.withColumnRenamed("h", "whole"), "whole").where(~_breaks_off(F.col("ends"), F.col("mids"))).select("whole", F.lit(True).alias("recurs"))
     c3 = counts.select(F.col("h").alias("t3"), F.col("ends").alias("e3"), F.col("mids").alias("m3"))
     c2 = counts.select(F.col("h").alias("t2"), F.col("ends").alias("e2"), F.col("mids").alias("m2"))
     j = f.join(refusals, "opening", "left").join(recurring, "whole", "left")

@@ -103,3 +103,22 @@ def test_long_answer(spark):
     q, r, _ = corpus(spark)
     long = spark.createDataFrame([("z", "问题？", "a", "很好。" * 20000, D(2024, 1, 1))], q.schema)
     assert ("qa_dataset", "z") not in {(x[0], x[1]) for x in pr.defects(q.unionByName(long), r).collect()}
+
+
+def test_cut_templates_stay_truncated_however_many(spark):
+    """A template cut off for several prompts is no recurrence: it goes on in most answers, or stops inside a name."""
+    cut_at = {}
+    qa = []
+    for i in range(240):
+        name = f"{'甲乙丙丁戊己庚辛壬癸'[i % 10]}{'子丑寅卯辰巳午未申酉戌亥'[i // 10 % 12]}仓冷链订单取消原因"
+        answer = f"系统会自动关闭{name}，如果{name}仍未付款就不再保留。"
+        if i % 60 < 2:  # 8 prompts
+            cut_at[f"q{i}"] = answer = answer[: answer.index("，") + 3]
+        elif i % 60 < 4:
+            cut_at[f"q{i}"] = answer = answer[: answer.index("，") + 3 + 4]
+        elif i % 60 < 6:
+            answer = "没有可达路径"
+        qa.append((f"q{i}", f"{name}到期后怎么处理？", "abcd"[i % 4], answer, D(2024, 1, 1)))
+    q = spark.createDataFrame(qa, "id string, question string, category string, ground_truth string, created_at timestamp_ntz")
+    r = corpus(spark)[1].limit(0)
+    assert {(x.row_id, x.defect) for x in pr.defects(q, r).collect()} == {(i, "truncated") for i in cut_at}
