@@ -34,7 +34,8 @@ from ontoloom.session import cut, discard
 #: Words per place of a code name, from its right end: a parameter of the naming convention.
 LAYOUT = (2, 1, 1, 1, 1)
 SLOTS = len(LAYOUT)
-LEAST_SHARE = 0.1
+LEAST_COUNT = 5
+LEAST_GLUED = 3
 PRECISION = 0.6
 SURE = 0.8
 RIVAL = 0.6
@@ -117,7 +118,7 @@ _TEXTS = ["name", "name_en", "aliases", "description", "source_ref"]
 
 
 def vocabulary(records: DataFrame) -> dict[str, int]:
-    """Place of each code word that stands there at least a tenth as often as the most frequent one of the place."""
+    """Place of each code word that stands in LEAST_COUNT records or more, however frequent others are; no words with a prefix glued on (keys_in)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,13 +129,17 @@ def vocabulary(records: DataFrame) -> dict[str, int]:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in n], pa.int32()), pa.array([k[1] for k in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["slot", "word", "n"])
 
     counts = records.select(*_TEXTS).mapInArrow(run, "slot int, word string, n bigint").groupBy("slot", "word").agg(F.sum("n").alias("n"))
-    most = F.max("n").over(Window.partitionBy("slot"))
-    rows = counts.withColumn("most", most).where((F.col("n") >= 5) & (F.col("n") >= LEAST_SHARE * F.col("most"))).collect()
+    rows = counts.where(F.col("n") >= LEAST_COUNT).collect()
     best: dict[str, tuple[int, int]] = {}
     for r in rows:  # a word belongs to the place where it is most frequent
         if r.n > best.get(r.word, (0, 0))[0]:
             best[r.word] = (r.n, r.slot)
-    return {w: s for w, (_, s) in best.items()}
+    bare: dict[str, set[str]] = defaultdict(set)  # letters that lead several words of the leftmost place: a prefix, not a part of the word
+    for w, (n, s) in best.items():
+        if s == SLOTS - 1 and best.get(w[1:], (0, -1))[1] == s and best[w[1:]][0] > n:
+            bare[w[0]].add(w)
+    glued = {w for ws in bare.values() if len(ws) >= LEAST_GLUED for w in ws}
+    return {w: s for w, (_, s) in best.items() if w not in glued}
 
 
 def lexicon(records: DataFrame, vocab: dict[str, int]) -> dict[int, dict[str, tuple[str, float, float, tuple]]]:

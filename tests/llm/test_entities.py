@@ -77,3 +77,13 @@ def test_code_names():
     vocab = {"tea": 2, "order": 1, "cost_calc": 0, "north": 4, "weekly": 3}
     assert en.keys_in("DWD_NorthWeeklyTeaOrderCostCalc", vocab) == {4: {"north"}, 3: {"weekly"}, 2: {"tea"}, 1: {"order"}, 0: {"cost_calc"}}
     assert en.code_parts("a_b_c_d_e_f") == [(0, "e_f"), (1, "d"), (2, "c"), (3, "b"), (4, "a")] and en.code_parts("") == []
+
+
+def test_rare_code_words_beside_a_hot_one(spark):
+    places = [SCOPE, PERIOD, KIND, OBJECT, MATTER]
+    codes = ["_".join(p[0][0] for p in places)] * 300
+    codes += ["_".join((p[(i + k) % len(p)])[0] for k, p in enumerate(places)) for i in range(60)]
+    codes += ["t" + "_".join([w[0], "weekly", "tea", "order", "cost_calc"]) for w in SCOPE[:3] for _ in range(6)]
+    codes += ["_".join([w[0], "weekly", "tea", "order", "cost_calc"]) for w in SCOPE for _ in range(8)]
+    rows = [(f"concept_{i}", "名", c, None, None, "rdb", None, D(2024, 1, 1)) for i, c in enumerate(codes)]
+    assert en.vocabulary(en.latest(frame(spark, rows))) == {w[0]: 4 - k for k, p in enumerate(places) for w in p}
