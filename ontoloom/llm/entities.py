@@ -12,8 +12,8 @@ probability of each pair is its confidence.
 
 Results: copies of a record (same id) are one, the latest loaded holds; a record without any text has no attributes and
 matches nothing; records of the same source never match; pairs need four known attributes in common, since fewer leave
-the marginal below the threshold in any corpus of over some thousand things.  Records that share all attributes with
-more than MOST_RIVALS of their own source are left out: one-to-one, none of their pairs can reach a marginal of 1/2.
+the marginal below the threshold in any corpus of over some thousand things.  Records of a source with the same
+attributes and field names can't be told apart: they are one class, whose messages are counted as often as it has members.
 """
 
 from __future__ import annotations
@@ -41,7 +41,6 @@ SURE = 0.8
 RIVAL = 0.6
 PART_OF = 0.4
 THRESHOLD = 0.5
-MOST_RIVALS = 2
 PRIOR = 0.6
 FIELDS_AGREE, FIELDS_DIFFER = 1.5, -3.5
 MAX_ROUNDS = 40
@@ -237,21 +236,26 @@ def attributes(records: DataFrame, vocab: dict[str, int], lex: dict) -> DataFram
     return records.select("id", "src", *_TEXTS, "properties", "identity_spec").mapInArrow(run, schema)
 
 
-def candidates(attrs: DataFrame) -> DataFrame:
-    """(a, b, src_a, src_b, theta): pairs of different sources that agree on four attributes and don't differ in the fifth.
+def classes(attrs: DataFrame) -> DataFrame:
+    """Records with four known attributes or more, with `class`, the least id of those with equal source, attributes and fields, and `n`, how many they are."""
+    names = [f"s{i}" for i in range(SLOTS)]
+    known = sum(F.col(n).isNotNull().cast("int") for n in names)
+    alike = Window.partitionBy("src", *names, "fields")
+    return attrs.withColumn("known", known).where(F.col("known") >= SLOTS - 1).withColumn("class", F.min("id").over(alike)).withColumn("n", F.count(F.lit(1)).over(alike))
+
+
+def candidates(attrs: DataFrame, records: DataFrame) -> DataFrame:
+    """(a, b, src_a, src_b, theta, n_a, n_b): pairs of classes of different sources that agree on four attributes and don't differ in the fifth, with their sizes; records: classes(attrs).
 
     Complete records meet on their whole tuple, a record with a gap on its four attributes, so pairs that differ are
-    never made.  Rivals of the same source and tuple are counted first and hopeless ones left out, so a tuple makes a few pairs per source."""
+    never made; neither are pairs of records that can't be told apart."""
     names = [f"s{i}" for i in range(SLOTS)]
-    known = sum(F.col(n).isNotNull().cast("int") for n in names)
-    full = attrs.withColumn("known", known).where(F.col("known") >= SLOTS - 1)
-    rivals = F.count(F.lit(1)).over(Window.partitionBy("src", *names))
-    full = cut(full.withColumn("rivals", rivals).where(F.col("rivals") <= MOST_RIVALS).drop("rivals"))
+    full = records.where("id = class")
     spark = attrs.sparkSession
     n_src = {r.src: r["count"] for r in attrs.groupBy("src").count().collect()} or {"": 0}
     freq = {}
     for i, n in enumerate(names):
-        rows = full.where(F.col(n).isNotNull()).groupBy(n).count().collect()  # at most the vocabulary's size
+        rows = full.where(F.col(n).isNotNull()).groupBy(n).agg(F.sum("n").alias("count")).collect()  # at most the vocabulary's size
         all_ = sum(r["count"] for r in rows)
         freq.update({(i, r[n]): math.log(all_ / r["count"]) for r in rows})
     gain = spark.createDataFrame([(i, w, g) for (i, w), g in freq.items()] or [(0, "", 0.0)], "slot int, w string, g double")
@@ -262,7 +266,7 @@ def candidates(attrs: DataFrame) -> DataFrame:
     key = lambda i: F.concat_ws("|", F.lit(str(i)), *[names[j] for j in range(SLOTS) if j != i])
     whole, part = full.where(F.col("known") == SLOTS), full.where(F.col("known") == SLOTS - 1)
     part = part.withColumn("key", F.coalesce(*[F.when(F.col(n).isNull(), key(i)) for i, n in enumerate(names)]))
-    cols = ["id", "src", *names, *(f"g{i}" for i in range(SLOTS)), "fields", "key"]
+    cols = ["id", "src", *names, *(f"g{i}" for i in range(SLOTS)), "fields", "n", "key"]
     # records that know all attributes meet on the whole tuple; one with a gap meets all that agree on the rest
     tuples = whole.withColumn("key", F.concat_ws("|", F.lit("all"), *names)).select(cols)
     open_keys = part.select("key").distinct()
@@ -281,7 +285,7 @@ def candidates(attrs: DataFrame) -> DataFrame:
     theta = F.lit(math.log(PRIOR)) - F.log(F.greatest(size[F.col("x.src")], size[F.col("y.src")])) + support + fields
     first = F.col("x.id") < F.col("y.id")
     end = lambda c, a, b: F.when(first, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}"))
-    cols = [end("id", "x", "y").alias("a"), end("id", "y", "x").alias("b"), end("src", "x", "y").alias("src_a"), end("src", "y", "x").alias("src_b"), theta.alias("theta")]
+    cols = [end("id", "x", "y").alias("a"), end("id", "y", "x").alias("b"), end("src", "x", "y").alias("src_a"), end("src", "y", "x").alias("src_b"), theta.alias("theta"), end("n", "x", "y").alias("n_a"), end("n", "y", "x").alias("n_b")]
     return equal.select(cols).unionByName(near.select(cols))
 
 
@@ -290,9 +294,12 @@ def propagate(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
 
     The factor of record a towards source s says that at most one pair of a with s is true; its message to a pair is
     -log(1 + sum of exp(what the rival pairs send)).  Pairs without rivals are settled at once; the others exchange
-    damped messages until no message moves by 0.001."""
+    damped messages until no message moves by 0.001.  With n_a and n_b, a and b stand for so many records each that have
+    the same pairs, whose messages are equal too."""
     side_a, side_b = Window.partitionBy("a", "src_b"), Window.partitionBy("b", "src_a")
-    p = pairs.withColumn("na", F.count(F.lit(1)).over(side_a)).withColumn("nb", F.count(F.lit(1)).over(side_b))
+    if "n_a" not in pairs.columns:
+        pairs = pairs.withColumn("n_a", F.lit(1)).withColumn("n_b", F.lit(1))
+    p = pairs.withColumn("na", F.sum("n_b").over(side_a)).withColumn("nb", F.sum("n_a").over(side_b))
     p = cut(p.withColumn("theta", F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("theta")))))
     logistic = lambda x: 1 / (1 + F.exp(-x))
     alone = p.where("na = 1 and nb = 1").select("a", "b", logistic(F.col("theta")).alias("confidence"))
@@ -301,11 +308,11 @@ def propagate(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
         return alone
     for _ in range(max_rounds):
         to_a, to_b = F.exp(F.col("theta") + F.col("mb")), F.exp(F.col("theta") + F.col("ma"))
-        step = m.withColumn("ea", to_a).withColumn("eb", to_b).withColumn("ta", F.sum("ea").over(side_a)).withColumn("tb", F.sum("eb").over(side_b))
+        step = m.withColumn("ea", to_a).withColumn("eb", to_b).withColumn("ta", F.sum(F.col("ea") * F.col("n_b")).over(side_a)).withColumn("tb", F.sum(F.col("eb") * F.col("n_a")).over(side_b))
         new_a = -F.log(1 + F.greatest(F.lit(0.0), F.col("ta") - F.col("ea")))
         new_b = -F.log(1 + F.greatest(F.lit(0.0), F.col("tb") - F.col("eb")))
         moved = step.withColumn("xa", (F.col("ma") + new_a) / 2).withColumn("xb", (F.col("mb") + new_b) / 2)
-        nxt = cut(moved.select("a", "b", "src_a", "src_b", "theta", F.col("xa").alias("ma"), F.col("xb").alias("mb"), F.greatest(F.abs(F.col("xa") - F.col("ma")), F.abs(F.col("xb") - F.col("mb"))).alias("change")))
+        nxt = cut(moved.select("a", "b", "src_a", "src_b", "theta", "n_a", "n_b", F.col("xa").alias("ma"), F.col("xb").alias("mb"), F.greatest(F.abs(F.col("xa") - F.col("ma")), F.abs(F.col("xb") - F.col("mb"))).alias("change")))
         most = nxt.agg(F.max("change")).first()[0]
         discard(m if _ else None)
         m = nxt
@@ -314,13 +321,16 @@ def propagate(pairs: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     return alone.unionByName(m.select("a", "b", logistic(F.col("theta") + F.col("ma") + F.col("mb")).alias("confidence")))
 
 
-def match(concepts: DataFrame) -> DataFrame:
-    """(concept_id_a, concept_id_b, confidence) of all candidate pairs, concept_id_a < concept_id_b."""
+def match(concepts: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(concept_id_a, concept_id_b, confidence) of all candidate pairs from the threshold on, concept_id_a < concept_id_b."""
     records = cut(latest(concepts))
     vocab = vocabulary(records)
     attrs = cut(attributes(records, vocab, lexicon(records, vocab)))
-    return propagate(candidates(attrs)).select(F.col("a").alias("concept_id_a"), F.col("b").alias("concept_id_b"), "confidence")
+    alike = cut(classes(attrs))
+    pairs = propagate(candidates(attrs, alike)).where(F.col("confidence") >= threshold)
+    x, y = (alike.select(F.col("class").alias(c), F.col("id").alias(f"id_{c}")) for c in "ab")
+    return pairs.join(x, "a").join(y, "b").select(F.least("id_a", "id_b").alias("concept_id_a"), F.greatest("id_a", "id_b").alias("concept_id_b"), "confidence")
 
 
 def found(concepts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return match(concepts).where(F.col("confidence") >= threshold).select("concept_id_a", "concept_id_b")
+    return match(concepts, threshold).select("concept_id_a", "concept_id_b")

@@ -87,3 +87,27 @@ def test_rare_code_words_beside_a_hot_one(spark):
     codes += ["_".join([w[0], "weekly", "tea", "order", "cost_calc"]) for w in SCOPE for _ in range(8)]
     rows = [(f"concept_{i}", "名", c, None, None, "rdb", None, D(2024, 1, 1)) for i, c in enumerate(codes)]
     assert en.vocabulary(en.latest(frame(spark, rows))) == {w[0]: 4 - k for k, p in enumerate(places) for w in p}
+
+
+def test_rivals_are_told_by_their_fields(spark):
+    """Of three records of a source with one tuple, one names the other source's fields; copies that nothing tells apart share their marginal."""
+    rows, truth = corpus()
+    full = [*(r for r in rows if r[5] != "dialogue")]
+    near = [r for r in full if r[1].startswith("订单成本核算（") and r[5] == "text"][:1] or [r for r in full if r[5] == "text"][:1]
+    i, name = near[0][0], near[0][1]
+    pair = next(p for p in sorted(truth) if i in p and any(r[0] in p and r[5].strip().lower() == "rdb" for r in full))
+    other = next(x for x in pair if x != i)
+    fields = {i: ["order_no"], other: ["order_no", "paid_at"], "concept_r1": ["weight_kg"], "concept_r2": ["height_cm"]}
+    full += [(k, name, *near[0][2:]) for k in ("concept_r1", "concept_r2")]
+    df = spark.createDataFrame([(*r, fields.get(r[0]), None, "clash", 0.0) for r in full], SCHEMA)
+    assert pair in {tuple(r) for r in en.found(df).collect()}
+
+
+def test_classes_stand_for_their_records(spark):
+    """Messages of classes equal those of their records written out."""
+    schema = "a string, b string, src_a string, src_b string, theta double"
+    each = [("a1", f"b{k}", "s", "t", 1.0) for k in range(4)] + [("a1", "b9", "s", "t", 3.0), ("a2", "b9", "s", "t", 0.5)]
+    want = {(r.a, r.b): r.confidence for r in en.propagate(spark.createDataFrame(each, schema)).collect()}
+    some = [(*each[0], 1, 4), (*each[4], 1, 1), (*each[5], 1, 1)]
+    got = {(r.a, r.b): r.confidence for r in en.propagate(spark.createDataFrame(some, schema + ", n_a int, n_b int")).collect()}
+    assert len(got) == 3 and all(abs(want[k] - v) < 1e-9 for k, v in got.items())
