@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ontoloom.llm import entities, format_dups, mixing, pairs, tokens, toxicity
-from ontoloom.session import table
+from ontoloom.session import cut, table
 
 
 def p3_found(spark, d):
@@ -55,11 +55,12 @@ def p9_found(spark, d):
 
 
 def p9_scores(spark, d):
-    return toxicity.scored(table(spark, d, "documents"), table(spark, d, "toxicity_labels"))
+    docs = table(spark, d, "documents")
+    return toxicity.passages(cut(toxicity.scored(docs, table(spark, d, "toxicity_labels"))), docs)
 
 
 def p9_rates(spark, d):
-    return toxicity.rates(p9_scores(spark, d))
+    return toxicity.rates(toxicity.scored(table(spark, d, "documents"), table(spark, d, "toxicity_labels")))
 
 
 QUERIES = {"p3_found": p3_found, "p3_queries": p3_queries, "p4_found": p4_found, "p4_matches": p4_matches, "p5_found": p5_found, "p5_rates": p5_rates, "p7_ids": p7_ids, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}

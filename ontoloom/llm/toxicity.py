@@ -1,15 +1,17 @@
 """Problem 9: abusive, hateful or sexual content.
 
-A text becomes units (ideographs, words) after its disguises are taken off.  Grams of units get log-odds of toxic
-against all text, toxic rates being smoothed by a Dirichlet prior whose mean is the gram's rate over all documents, to
-which a short list of seed words adds pseudo-documents.  What stands right and left of a telling gram in labelled
-harmless texts takes its weight away again ("白痴级教程").  A linear-time scan then finds every maximal-scoring segment,
-and the best segment of a text is turned into a p-value by an extreme-value law fitted to harmless labelled texts, so
-that long texts aren't flagged for their length.
-
-Fitting uses at most MAX_LABELLED labelled documents, chosen by hash; rates of grams come from all documents and every
-text is scored whole.  Results: null, empty and blank texts have score 0; a document's label is its raters' majority,
-ties being left out; with no toxic label at all the seeds alone decide.
+A text becomes units (ideographs, words) after its disguises are taken off.  Labels alone teach what is telling: grams of
+units get log-odds of toxic against all text, toxic rates being smoothed by a Dirichlet prior whose mean is the gram's
+rate over all documents, bounded by their log-odds of toxic against harmless labels.  A gram is telling if its count in
+toxic texts is beyond chance by itself, or if it is unlikely and most of those texts have other telling grams beside it.
+What stands right and left of a telling gram in labelled harmless texts takes its weight away again ("白痴级教程").  A
+linear-time scan then finds every maximal-scoring segment, and the best segment of a text is turned into a p-value by an
+extreme-value law of harmless labelled texts, so that long texts aren't flagged for their length.
+
+The law and the p-value that decides are taken from scores that leave the text's own label out of every count, so no text
+judges itself.  Fitting uses at most MAX_LABELLED labelled documents, chosen by hash; its grams are those of two toxic
+ones or more.  Rates of grams come from all documents and every text is scored whole.  Results: null, empty and blank
+texts have score 0; a document's label is its raters' majority, ties being left out; without toxic labels nothing is flagged.
 """
 
 from __future__ import annotations
@@ -22,26 +24,28 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.llm.mixing import norm_source
+from ontoloom.session import cut, discard
 
 MAX_LABELLED = 20_000
-MAX_GRAMS = 400_000
 ORDERS = 4
 PRIOR_DOCS = 30.0
-SEED_DOCS = 4.0
 DRIFT = 0.6
-#: Log-odds that a gram must reach: kinds of text that draw more abuse raise the odds of their harmless phrases a little too.
+TOP = 3.0
+#: Log-odds that a gram must reach against all documents: kinds of text that draw more abuse raise the odds of their harmless phrases a little too.
 LEAST = 1.0
-#: Likelihood ratio that a gram must reach, about one in 20,000 by chance: as many grams are tried.
-SURPRISE = 16.0
+#: Log-odds of toxic against harmless labels that a gram must reach over those of all labels, each class having PRIOR_LABELS in proportion.
+PURITY, PRIOR_LABELS = 2.5, 2.0
+#: Likelihood ratios of a gram's count in toxic texts: HIGH carries it alone (chance among all grams tried), LOW if SHARE of those texts have other telling grams of weight NEAR within REACH units.
+HIGH, LOW = 24.0, 8.0
+SHARE, NEAR, REACH = 0.8, 2.0, 12
+CONFIRM_ROUNDS = 2
 
-#: Seed words of abuse, hate and sexual offers.
-SEEDS_ZH = "傻逼 傻B 脑残 智障 白痴 废物 人渣 畜生 王八蛋 狗杂种 狗东西 贱人 蠢货 混蛋 死骗子 不要脸 滚你妈 你妈的 弄死你 去死 被车撞 驴踢 说人话 拿针缝上 你也配 做人吧 浪费粮食 挨揍 恶心 劣等 下等人 死绝 赶出去 是贼 蟑螂一样 约炮 裸聊 真骚 狠狠干 胸真大 陪我睡 床上功夫 大尺度 露点 脱光".split()
-SEEDS_EN = "moron|idiot|scumbag|bitch|bastard|asshole|dickhead|shithead|piece of shit|cunt|whore|slut|retard|fuck|fuck you|shut up you|go to hell|kill yourself|will bleed|hope you die|subhuman|vermin|filthy|like rats|parasites|deported|horny|nudes|naked|strip on cam|bend you over|blowjob|porn|suck my".split("|")
 #: Digits and signs that stand for letters, and characters of other spelling.
 LEET = str.maketrans("013457@$!", "oieastasi")
 VARIANTS = str.maketrans("滾亂幹髒婊們媽", "滚乱干脏婊们妈")
@@ -64,6 +68,9 @@ def bare(text: str) -> str:
     return _RUN.sub(r"\1", t)
 
 
+_WORD = 1 << 31  # codes of words begin here
+
+
 @lru_cache(maxsize=200_000)
 def code(unit: str) -> int:
     """Number of a unit: 0 for sentence ends, 1 for numbers, the code point of an ideograph, a hash for words."""
@@ -71,11 +78,11 @@ def code(unit: str) -> int:
         return 0
     if unit[0].isdigit():
         return 1
-    return ord(unit) if len(unit) == 1 else int.from_bytes(blake2b(unit.encode(), digest_size=7).digest(), "big") | 1 << 32
+    return ord(unit) if len(unit) == 1 else int.from_bytes(blake2b(unit.encode(), digest_size=4).digest(), "big") | _WORD
 
 
 def units(text: str) -> np.ndarray:
-    return np.array([code(u) for u in _UNIT.findall(bare(text))], np.uint64)
+    return np.array([code(u) for u in _UNIT.findall(bare(text))], np.uint32)
 
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -88,21 +95,15 @@ def grams(u: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     h, ok = np.full(m, n, np.uint64), np.ones(m, bool)
     for k in range(n):
-        part = u[k : k + m]
+        part = u[k : k + m].astype(np.uint64)
         h = (h ^ part) * _MULT
         h ^= h >> np.uint64(29)
         ok &= part != 0
     if n == 1:
-        ok &= (u > np.uint64(0xFFFFFFFF))
+        ok &= u >= _WORD
     return np.where(ok, (h | np.uint64(1)).astype(np.int64), 0)
 
 
-def gram_of(text: str) -> int:
-    u = units(text)
-    h = grams(u, len(u))
-    return int(h[0]) if len(h) else 0
-
-
 def all_grams(u: np.ndarray) -> np.ndarray:
     g = np.unique(np.concatenate([grams(u, n) for n in range(1, ORDERS + 1)])) if len(u) else np.zeros(0, np.int64)
     return g[g != 0]
@@ -116,27 +117,63 @@ def at(sorted_keys: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[i] == h, i, -1)
 
 
-class Model:
-    """Weights of telling grams, what labelled contexts take away, and the law of the best segment's score."""
+def known(sorted_keys: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Indices of the keys that are grams of u, once each."""
+    found = [at(sorted_keys, grams(u, n)) for n in range(1, ORDERS + 1)] if len(u) else []
+    i = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return i[i >= 0].astype(np.int64)
 
-    def __init__(self, keys: np.ndarray, weights: np.ndarray):
-        self.keys, self.weights = keys, weights
-        self.ctx_keys, self.ctx_weights = np.zeros(0, np.int64), np.zeros(0)
-        self.scale, self.shift, self.limit = 1.0, 0.0, 0.01
 
-    def hits(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Model:
+    """Weights of telling grams, what labelled contexts take away, and the law of the best segment's score.
+
+    Counts are kept beside the weights, so that a labelled text is scored as if its own label were unknown (own)."""
+
+    def __init__(self, n_tox: int, n_ok: int, keys: np.ndarray, tox: np.ndarray, ok: np.ndarray, rate: np.ndarray):
+        self.n_tox, self.n_ok = n_tox, n_ok
+        self.keys, self.tox, self.ok, self.rate, self.sure = keys, tox, ok, rate, None
+        self.ctx_keys, self.ctx_tox, self.ctx_ok = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        self.scale, self.shift, self.limit = 1.0, 0.0, 0.0
+        self.keep()
+
+    def weigh(self, t: np.ndarray, f: np.ndarray, rate: np.ndarray, sure: np.ndarray | None) -> np.ndarray:
+        """Weights of grams in t toxic and f harmless labelled texts and the share `rate` of all, of whose toxic texts `sure` have other telling grams near (None: not known yet); 0 for those not telling."""
+        q = (self.n_tox + 0.5) / (self.n_tox + self.n_ok + 1)
+        smooth = t + PRIOR_DOCS * rate
+        odds = np.log(smooth / (self.n_tox + PRIOR_DOCS)) - np.log(rate) - 1 / np.sqrt(smooth)
+        pure = np.log((t + PRIOR_LABELS * q) / (f + PRIOR_LABELS * (1 - q))) - math.log(q / (1 - q))
+        expect = max(self.n_tox, 0.1) * rate
+        surprise = 2 * (t * np.log(np.maximum(t, 1e-9) / expect) - (t - expect))
+        good = (t >= 2) & (odds > LEAST) & (pure > PURITY) & (surprise > LOW)
+        if sure is not None:
+            good &= (surprise > HIGH) | (sure >= np.maximum(2, SHARE * t))
+        return np.where(good, np.minimum(np.minimum(odds, pure), TOP), 0.0)
+
+    def keep(self, sure: np.ndarray | None = None) -> None:
+        """Weighs the grams and lets go of those that aren't telling."""
+        w = self.weigh(self.tox, self.ok, self.rate, sure)
+        k = w > 0
+        self.keys, self.tox, self.ok, self.rate, self.weights = self.keys[k], self.tox[k], self.ok[k], self.rate[k], w[k]
+        self.sure = None if sure is None else sure[k]
+
+    def hits(self, u: np.ndarray, own: bool | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Weight and length of the longest telling gram that begins at each position; 0 for none."""
         w, length = np.zeros(len(u)), np.zeros(len(u), np.int64)
         for n in range(1, ORDERS + 1):
-            h = grams(u, n)
-            i = at(self.keys, h)
-            hit = np.flatnonzero((i >= 0) & (h != 0))
-            w[hit], length[hit] = self.weights[i[hit]], n
+            i = at(self.keys, grams(u, n))
+            hit = np.flatnonzero(i >= 0)
+            if not len(hit):
+                continue
+            x = self.weights[i[hit]]
+            if own is not None:
+                k = i[hit]
+                x = self.weigh(np.maximum(self.tox[k] - own, 0), np.maximum(self.ok[k] - (not own), 0), self.rate[k], None if self.sure is None else self.sure[k] - own)
+            w[hit[x > 0]], length[hit[x > 0]] = x[x > 0], n
         return w, length
 
-    def contexts(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, hash) of the windows of four units over each telling gram, by where they begin."""
-        w, length = self.hits(u)
+    def contexts(self, u: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(position, hash) of the windows of four units over each telling gram of hits(), by where they begin."""
+        w, length = found
         pos = np.flatnonzero(w > 0)
         if not len(pos) or len(u) < ORDERS:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -144,23 +181,41 @@ class Model:
         out = []
         for back in range(ORDERS):
             start = pos - back
-            ok = (start >= 0) & (start < len(h)) & (back + np.minimum(length[pos], ORDERS) <= ORDERS)
-            keep = ok & (h[np.clip(start, 0, len(h) - 1)] != 0)
+            inside = (start >= 0) & (start < len(h)) & (back + length[pos] <= ORDERS)
+            keep = inside & (h[np.clip(start, 0, len(h) - 1)] != 0)
             out.append((pos[keep], h[start[keep]]))
         return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
-    def positions(self, u: np.ndarray) -> np.ndarray:
+    def positions(self, u: np.ndarray, own: bool | None = None) -> np.ndarray:
         """Score of each position: its telling gram's weight, less what the most harmless context says, or the drift."""
-        w, _ = self.hits(u)
+        w, length = self.hits(u, own)
         if len(self.ctx_keys) and (w > 0).any():
-            pos, h = self.contexts(u)
+            pos, h = self.contexts(u, (w, length))
             i = at(self.ctx_keys, h)
-            known = i >= 0
-            np.minimum.at(w, pos[known], self.ctx_weights[i[known]])
+            pos, i = pos[i >= 0], i[i >= 0]
+            t, f = self.ctx_tox[i], self.ctx_ok[i]
+            if own is not None:
+                t, f = np.maximum(t - own, 0), f - (not own)
+            says = np.log((t + 1) / (self.n_tox + 1)) - np.log((np.maximum(f, 0) + 0.3) / (self.n_ok + 1)) - 1.5  # one harmless label alone may be a rater's slip
+            np.minimum.at(w, pos[f >= 1], says[f >= 1])
         return np.where(w > 0, w, np.where(u == 0, -2 * DRIFT, np.minimum(w, 0) - DRIFT))
 
-    def best(self, u: np.ndarray) -> tuple[float, int, list[tuple[int, int, float]]]:
-        s = self.positions(u)
+    def confirmed(self, u: np.ndarray) -> np.ndarray:
+        """Indices of the telling grams of a text that have others of weight NEAR within REACH units, none sharing a unit with them."""
+        w, _ = self.hits(u)
+        total = np.concatenate(([0.0], np.cumsum(w)))
+        out = []
+        for n in range(1, ORDERS + 1):
+            i = at(self.keys, grams(u, n))
+            p = np.flatnonzero(i >= 0)
+            lo, hi = np.maximum(p - REACH, 0), np.minimum(p + n + REACH, len(u))
+            before = total[np.maximum(lo, p - ORDERS + 1)] - total[lo]
+            after = total[hi] - total[np.minimum(hi, p + n)]
+            out.append(i[p[before + after >= NEAR]])
+        return np.unique(np.concatenate(out))
+
+    def best(self, u: np.ndarray, own: bool | None = None) -> tuple[float, int, list[tuple[int, int, float]]]:
+        s = self.positions(u, own)
         if not (s > 0).any():
             return 0.0, len(u), []
         seg = segments(s)
@@ -172,21 +227,24 @@ class Model:
 
 
 def segments(s: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (from, to, score), in one scan with a stack of disjoint candidates."""
-    out: list[tuple[int, int, float, float]] = []  # from, to, sum before, sum up to the end
+    """All maximal-scoring segments (from, to, score), in one scan with a stack of disjoint candidates.
+
+    Each candidate keeps the place of the last one below it whose sum before is smaller; a search goes along these links,
+    as all between have greater sums, so the whole scan takes time linear in the positions."""
+    out: list[tuple[int, int, float, float, int]] = []  # from, to, sum before, sum up to the end, link
     total = np.concatenate(([0.0], np.cumsum(s)))
     for k in np.flatnonzero(s > 0).tolist():
         lo, left, right = k, total[k], total[k + 1]
+        j = len(out) - 1
         while True:
-            j = len(out) - 1
             while j >= 0 and out[j][2] >= left:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= right:
                 break
-            lo, left = out[j][0], out[j][2]
-            del out[j:]
-        out.append((lo, k + 1, left, right))
-    return [(a, b, r - l) for a, b, l, r in out]
+            lo, left, j, gone = out[j][0], out[j][2], out[j][4], j
+            del out[gone:]
+        out.append((lo, k + 1, left, right, j))
+    return [(a, b, r - l) for a, b, l, r, _ in out]
 
 
 def majority(labels: DataFrame) -> DataFrame:
@@ -209,109 +267,149 @@ def _sums(df: DataFrame, columns: list[str], make) -> tuple[np.ndarray, ...]:
     return df.mapInArrow(run, "h bigint, " + ", ".join(f"{c} double" for c in columns)).groupBy("h").agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    text = docs.select("doc_id", "text").where("text is not null")
-    # copies of a text would make its chance words look telling, so each text counts once, whatever its numbers, blanks and punctuation
+def unit_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, k, u): the units of each text, cut once for all passes, as little-endian 32-bit numbers; null texts have none.  k is alike for texts that differ in numbers, blanks and punctuation only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = [units(x or "").astype("<u4").tobytes() for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(u, pa.binary())], names=["doc_id", "source", "k", "u"])
+
     same = F.xxhash64(F.regexp_replace(F.lower("text"), r"[\d\s\p{P}]+", ""))
-    judged = text.join(F.broadcast(majority(labels)), "doc_id").groupBy(same.alias("k")).agg(F.min("text").alias("text"), F.avg(F.col("toxic").cast("double")).alias("share"))
-    marked = judged.where("share != 0.5").select((F.col("share") > 0.5).alias("toxic"), "text").persist()
-    n_docs = text.count()
+    return cut(docs.select("doc_id", norm_source("source").alias("source"), F.when(F.col("text").isNotNull(), same).alias("k"), "text").mapInArrow(run, "doc_id bigint, source string, k bigint, u binary"))
+
+
+def _units(column: pa.Array) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x, "<u4") for x in column.to_pylist())
+
+
+def fit(rows: DataFrame, labels: DataFrame) -> Model:
+    """Model of unit_rows() and the labels (doc_id, toxic)."""
+    share = rows.sparkSession.sparkContext.broadcast
+    # copies of a text would make its chance words look telling, so each text counts once
+    judged = rows.where("k is not null").join(F.broadcast(majority(labels)), "doc_id").groupBy("k").agg(F.min("u").alias("u"), F.avg(F.col("toxic").cast("double")).alias("share"))
+    marked = cut(judged.where("share != 0.5").select((F.col("share") > 0.5).alias("toxic"), "u"))
+    n_docs = rows.where("k is not null").count()
     tally = {r.toxic: r["count"] for r in marked.groupBy("toxic").count().collect()}
     n_tox, n_ok = tally.get(True, 0), tally.get(False, 0)
-    seeds = np.unique([g for s in (*SEEDS_ZH, *SEEDS_EN) if (g := gram_of(s))])
-    pos = _sums(marked.where("toxic").select("text"), ["t"], lambda b: [(all_grams(units(t)), 1.0) for t in b.column(0).to_pylist()]).where("t >= 2").orderBy(F.desc("t"), "h").limit(MAX_GRAMS).toPandas()
-    keys = np.unique(np.concatenate([pos.h.to_numpy(np.int64), seeds]))
-    t = np.zeros(len(keys))
-    t[np.searchsorted(keys, pos.h.to_numpy(np.int64))] = pos.t.to_numpy(float)
-    t[np.searchsorted(keys, seeds)] += SEED_DOCS
-    shared = docs.sparkSession.sparkContext.broadcast(keys)
+
+    def both(b: pa.RecordBatch):
+        for toxic, u in zip(b.column(0).to_pylist(), _units(b.column(1))):
+            yield all_grams(u), float(toxic), float(not toxic)
+
+    odds = math.log((n_tox + 0.5) / (n_ok + 0.5))
+    q = (n_tox + 0.5) / (n_tox + n_ok + 1)
+    pure = F.log((F.col("t") + PRIOR_LABELS * q) / (F.col("f") + PRIOR_LABELS * (1 - q))) - odds > PURITY
+    g = _sums(marked, ["t", "f"], both).where((F.col("t") >= 2) & pure).toPandas().sort_values("h")  # grams of two of MAX_LABELLED texts or more
+    keys = g.h.to_numpy(np.int64)
+    shared = share(keys)
 
     def common(b: pa.RecordBatch):
-        for x in b.column(0).to_pylist():
-            i = at(shared.value, all_grams(units(x)))
-            yield i[i >= 0].astype(np.int64), 1.0
+        for u in _units(b.column(0)):
+            yield known(shared.value, u), 1.0
 
-    df = _sums(text.select("text"), ["n"], common).toPandas()
     n = np.zeros(len(keys))
-    n[df.h.to_numpy(np.int64)] = df.n.to_numpy(float)
-    rate = (n + 0.5) / (n_docs + 1)
-    smooth = t + PRIOR_DOCS * rate
-    odds = np.log(smooth / (n_tox + SEED_DOCS + PRIOR_DOCS)) - np.log(rate) - 1 / np.sqrt(smooth)
-    expect = max(n_tox, 0.1) * rate
-    surprise = 2 * (t * np.log(np.maximum(t, 1e-9) / expect) - (t - expect))  # likelihood ratio of the toxic documents' count against the rate over all
-    keep = (odds > LEAST) & ((surprise > SURPRISE) | np.isin(keys, seeds))
-    m = Model(keys[keep], np.minimum(odds[keep], 3.0))
-    model = docs.sparkSession.sparkContext.broadcast(m)
+    if len(keys):
+        df = _sums(rows.where("k is not null").select("u"), ["n"], common).toPandas()
+        n[df.h.to_numpy(np.int64)] = df.n.to_numpy(float)
+    m = Model(n_tox, n_ok, keys, g.t.to_numpy(float), g.f.to_numpy(float), (n + 0.5) / (n_docs + 1))
+    for _ in range(CONFIRM_ROUNDS):
+        model = share(m)
+
+        def beside(b: pa.RecordBatch, model=model):
+            for u in _units(b.column(0)):
+                yield model.value.confirmed(u), 1.0
+
+        df = _sums(marked.where("toxic").select("u"), ["n"], beside).toPandas()
+        sure = np.zeros(len(m.keys))
+        sure[df.h.to_numpy(np.int64)] = df.n.to_numpy(float)
+        m.keep(sure)
+    model = share(m)
 
     def near(b: pa.RecordBatch):
-        for toxic, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            h = np.unique(model.value.contexts(units(x))[1])
-            yield h, float(toxic), float(not toxic)
+        for toxic, u in zip(b.column(0).to_pylist(), _units(b.column(1))):
+            yield np.unique(model.value.contexts(u, model.value.hits(u))[1]), float(toxic), float(not toxic)
 
     ctx = _sums(marked, ["t", "f"], near).where("f >= 1").toPandas().sort_values("h")
-    if n_tox and len(ctx):
-        m.ctx_keys = ctx.h.to_numpy(np.int64)
-        tt, ff = ctx.t.to_numpy(float), ctx.f.to_numpy(float)
-        m.ctx_weights = np.log((tt + 1) / (n_tox + 1)) - np.log((ff + 0.3) / (n_ok + 1)) - 1.5  # one harmless label alone may be a rater's slip
+    m.ctx_keys, m.ctx_tox, m.ctx_ok = ctx.h.to_numpy(np.int64), ctx.t.to_numpy(float), ctx.f.to_numpy(float)
     _calibrate(m, marked)
-    marked.unpersist()
+    discard(marked)
     return m
 
 
 def _calibrate(m: Model, marked: DataFrame) -> None:
-    """Gumbel law of harmless texts' best scores by moments, and the p-value that best tells the labelled texts apart."""
+    """Gumbel law of harmless texts' best scores by moments, and the p-value that best tells the labelled texts apart, each scored without its own label."""
     model = marked.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            r = [model.value.best(units(x))[:2] for x in b.column(1).to_pylist()]
+            r = [model.value.best(u, t)[:2] for t, u in zip(b.column(0).to_pylist(), _units(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in r], pa.float64()), pa.array([x[1] for x in r], pa.int64())], names=["toxic", "score", "n"])
 
-    s = marked.mapInArrow(run, "toxic boolean, score double, n bigint").toPandas()
-    ok = s[~s.toxic.astype(bool)]
-    if len(ok) < 20:
-        m.scale, m.shift, m.limit = 0.7, -6.0, 0.05
-        return
+    law(m, marked.mapInArrow(run, "toxic boolean, score double, n bigint").toPandas())
+
+
+def law(m: Model, s: pd.DataFrame) -> None:
+    y = s.toxic.to_numpy(bool)
+    ok = s[~y]
+    if len(ok) < 20 or not y.any():
+        return  # nothing to tell apart: the limit stays 0 and flags no text
     body = ok.score[ok.score <= ok.score.quantile(0.97)]  # raters err: the top may hold toxic texts
     spread = max(float(body.std()), 0.3)
     m.scale = math.pi / (spread * math.sqrt(6))
     m.shift = m.scale * float(body.mean()) - 0.5772 - float(np.log(ok.n.clip(lower=20)).mean())
     p = np.array([m.p_value(a, b) for a, b in zip(s.score, s.n)])
-    y = s.toxic.to_numpy(bool)
     best = (-1.0, 0.0)
-    for cut in np.geomspace(1e-10, 0.3, 80):  # of equal cuts the strictest
-        hit = p <= cut
+    for at_most in np.geomspace(1e-10, 0.3, 80):  # of equal cuts the strictest
+        hit = p <= at_most
         f1 = 2 * (hit & y).sum() / max(1, hit.sum() + y.sum())
-        best = max(best, (f1, -cut))
-    m.limit = -best[1] if y.any() else 0.01
+        best = max(best, (f1, -at_most))
+    m.limit = -best[1]
 
 
-SCORES = "doc_id bigint, source string, score double, p_value double, n_passages int, passage string, toxic boolean"
+SCORES = "doc_id bigint, source string, score double, p_value double, n_passages int, from_unit int, to_unit int, toxic boolean"
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, source, score of the best segment, its p-value, number of significant passages, the best passage's units as text, and the verdict."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """Per row: score of the best segment, its p-value, number of significant passages, the units of the best one (null for none), and the verdict."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            cols: list[list] = [[] for _ in range(5)]
-            for x in b.column(2).to_pylist():
-                u = units(x or "")
+            cols: list[list] = [[] for _ in range(6)]
+            for u in _units(b.column(2)):
                 s, n, seg = m.best(u)
-                p = m.p_value(s, n)
                 good = [g for g in seg if m.p_value(g[2], n) <= m.limit]
                 top = max(good, key=lambda g: g[2], default=None)
-                for c, v in zip(cols, (s, p, len(good), "".join(_UNIT.findall(bare(x))[top[0] : top[1] + ORDERS - 1]) if top else None, bool(good))):
+                for c, v in zip(cols, (s, m.p_value(s, n), len(good), top and top[0], top and min(len(u), top[1] + ORDERS - 1), bool(good))):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.bool_())))], names=["doc_id", "source", "score", "p_value", "n_passages", "passage", "toxic"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())))], names=[f.split()[0] for f in SCORES.split(", ")])
 
-    return docs.select("doc_id", norm_source("source").alias("source"), "text").mapInArrow(run, SCORES)
+    return rows.select("doc_id", "source", F.coalesce("u", F.lit(b"")).alias("u")).mapInArrow(run, SCORES)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, labels))
+    rows = unit_rows(docs)
+    return score(rows, fit(rows, labels))
+
+
+def passages(scores: DataFrame, docs: DataFrame) -> DataFrame:
+    """scores with `passage` instead of its units: that part of the flagged text, disguises taken off; of a doc_id's several texts the least."""
+
+    @F.pandas_udf("string")
+    def part(text: pd.Series, a: pd.Series, z: pd.Series) -> pd.Series:
+        out = []
+        for x, i, j in zip(text, a, z):
+            t = bare(x)
+            at_ = [w.span() for w in _UNIT.finditer(t)][int(i) : int(j)]
+            out.append(t[at_[0][0] : at_[-1][1]] if at_ else None)
+        return pd.Series(out, dtype=object)
+
+    hit = scores.where("toxic").select("doc_id", "from_unit", "to_unit").dropDuplicates(["doc_id"])
+    read = docs.select("doc_id", "text").join(hit, "doc_id").groupBy("doc_id", "from_unit", "to_unit").agg(F.min("text").alias("text"))
+    shown = read.select("doc_id", part("text", "from_unit", "to_unit").alias("passage"))
+    return scores.drop("from_unit", "to_unit").join(shown, "doc_id", "left")
 
 
 def rates(scores: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -27,6 +28,21 @@ def test_segments_against_definition():
         assert [(a, b) for a, b, _ in tx.segments(np.array(s))] == brute(s)
 
 
+def test_segments_take_linear_time():
+    s = np.where(np.arange(400_000) % 4 == 0, 1.0, -2.0)  # isolated hits, each of which once walked down the whole stack
+    t = time.perf_counter()
+    assert len(tx.segments(s)) == 100_000
+    assert time.perf_counter() - t < 1
+
+
+def test_own_label_is_left_out():
+    """A gram of two toxic texts weighs nothing in one of them, which leaves a single one."""
+    m = tx.Model(3, 100, np.array([7]), np.array([2.0]), np.array([0.0]), np.array([0.001]))
+    u = tx.units("白痴说说")
+    m.keys = tx.grams(u, 2)[:1]
+    assert m.hits(u)[0][0] == m.weights[0] > m.hits(u, True)[0][0] == 0 and m.hits(u, False)[0][0] == m.weights[0]
+
+
 GOOD = ["物流很快，包装完整。", "请注意仓库的规则并不相同。", "白痴级教程，一看就会。", "Parcel arrived on time and looks fine.", "订单流程清楚，客服很耐心。"]
 BAD = ["你们客服就是一群废物", "这白痴商家怎么不去死", "外地人天生就是贼", "you are a scumbag go to hell", "深夜裸聊先付后看"]
 
@@ -57,6 +73,8 @@ def test_held_out(spark):
     tp = len(got & truth & held)
     assert tp / len(truth & held) > 0.95 and tp / len(got & held) > 0.95 and not got & {9001, 9002, 9003, 9004}
     s = tx.scored(docs, lab)
+    shown = tx.passages(s, docs.where("doc_id < 9000")).where("toxic").select("passage").distinct().limit(200).collect()
+    assert any(x.passage and "go to hel" in x.passage for x in shown) and any(x.passage and "外地人" in x.passage for x in shown)
     rate = {x.source: x for x in tx.rates(s).collect()}
     assert rate["review"].n_docs + rate["re_view"].n_docs + rate[None].n_docs == 1501 and rate["review"].n_toxic > 0
 
