@@ -43,7 +43,7 @@ _BASE = f"with {_CON}, {_PROP}, {_REL} "
 
 
 def _sets(s, d):
-    return cut(hierarchy.nested_sets(table(s, d, "taxonomy_node")))
+    return hierarchy.shared_sets(table(s, d, "taxonomy_node"))
 
 
 def _closure(s, d):

@@ -34,11 +34,15 @@ def p6_nested_sets(spark, d):
     return hierarchy.nested_sets(table(spark, d, "taxonomy_node"))
 
 
+def p6_descendants(spark, d):
+    return hierarchy.descendants_of(hierarchy.shared_sets(table(spark, d, "taxonomy_node")))
+
+
 def p6_paths(spark, d):
     return hierarchy.paths(table(spark, d, "taxonomy_node"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p2_found": p2_found, "p2_report": p2_report, "p6_found": p6_found, "p6_nested_sets": p6_nested_sets, "p6_paths": p6_paths}
+QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p2_found": p2_found, "p2_report": p2_report, "p6_found": p6_found, "p6_nested_sets": p6_nested_sets, "p6_descendants": p6_descendants, "p6_paths": p6_paths}
 
 #: White space that the identifiers' normal form strips, for RE2.
 _ID = "nullif(lower(regexp_replace({0}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')), '')"
@@ -91,10 +95,18 @@ far as (select start, arg_max(path, len(path)) path, arg_max(at_, len(path)) at_
 e as (select start, path, list_position(path, r.parent) k from far join rest r on r.id = far.at_)
 select id as concept_id, 'tree' as state, root as root_id, depth from t union all select start, case when k = 1 then 'cycle' else 'hanging' end, list_min(path[k:]), (k - 1)::integer from e"""
 
+_P6_UP = _P6.rstrip() + ", up as (select id, p[i] anc from (select id, string_split(path, '/') p, unnest(range(1, len(string_split(path, '/')))) i from t))"
+_P6_SETS = _P6_UP + """, n as (select anc, count(*) n from up group by 1),
+o as (select id, row_number() over (order by list_transform(string_split(path, '/'), lambda x: md5(x))) - 1 lo from t)
+select t.id as concept_id, t.parent as parent_id, t.root as root_id, t.depth::integer as depth, coalesce(n.n, 0) as n_descendants, o.lo as lo, o.lo + coalesce(n.n, 0) as hi
+ from t join o on o.id = t.id left join n on n.anc = t.id"""
+
 ORACLE = {
     "p1_found": _P1,
     "p6_found": _P6_FOUND,
     "p2_found": _P2 + "select * from found where reason is not null",
     "p2_report": _P2 + "select ref_table, ref_field, period, reason, count(*) n_refs from found where reason is not null group by all",
+    "p6_nested_sets": _P6_SETS,
+    "p6_descendants": _P6_UP + "select anc as concept_id, id as descendant_id from up",
     "p6_paths": _P6 + "select id concept_id, path from t",
 }
