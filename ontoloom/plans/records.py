@@ -11,7 +11,7 @@ def p1_found(spark, d):
 
 
 def p1_nodes(spark, d):
-    return nested_json.flatten(table(spark, d, "report_raw"))
+    return nested_json.nodes(table(spark, d, "report_raw"))
 
 
 def _orphans(spark, d):
@@ -88,7 +88,21 @@ def _p1(outer: str, via: str, inner: str, label: str, kind: str) -> str:
  from (select report_id, o, unnest(range(1, len(o) + 1)) i from (select report_id, {_list(f"json_extract(p, '$.{outer}')")} o from r)))) where json_type(e[j]) <> 'NULL'"""
 
 
+def _text(x: str, *names: str) -> str:
+    """SQL text of the first of an object's members that isn't null."""
+    return "coalesce(" + ", ".join(f"case when json_type({x}, '$.{n}') = 'NULL' then null else json_extract_string({x}, '$.{n}') end" for n in names) + ")"
+
+
+def _p1_nodes(outer: str, via: str, inner: str, labels: tuple, outer_kind: str, kind: str) -> str:
+    return f"""select report_id, '{outer_kind}' as node_kind, null::integer as parent_pos, (i - 1)::integer as pos, coalesce({_text('o[i]', 'id', 'name')}, '') as label, {_text('o[i]', 'title', 'description')} as detail
+ from (select report_id, o, unnest(range(1, len(o) + 1)) i from (select report_id, {_list(f"json_extract(p, '$.{outer}')")} o from r)) where json_type(o[i]) <> 'NULL'
+ union select report_id, '{kind}', (i - 1)::integer, (j - 1)::integer, coalesce({_text('e[j]', *labels)}, ''), {_text('e[j]', 'premise', 'expected_relation')}
+ from (select report_id, i, e, unnest(range(1, len(e) + 1)) j from (select report_id, i, {_list(f"json_extract(o[i], '$.{via}.{inner}')")} e
+ from (select report_id, o, unnest(range(1, len(o) + 1)) i from (select report_id, {_list(f"json_extract(p, '$.{outer}')")} o from r)))) where json_type(e[j]) <> 'NULL'"""
+
+
 _P1 = "with r as (select report_id, payload::json p from report_raw where payload is not null and json_valid(payload)) " + _p1("scenarios", "result", "proof_chain", "rule", "proof_step") + " union all " + _p1("steps", "output", "checks", "concept", "check")
+_P1_NODES = _P1[: _P1.index("select distinct")] + "select report_id, 'report' as node_kind, null::integer as parent_pos, 0::integer as pos, '' as label, null as detail from r union " + _p1_nodes("scenarios", "result", "proof_chain", ("rule",), "scenario", "proof_step") + " union " + _p1_nodes("steps", "output", "checks", ("concept",), "step", "check")
 _P6_FOUND = _P6.rstrip() + """, rest as (select id, parent from l where id not in (select id from t)),
 w as (select id as start, id as at_, [id] path from rest union all select w.start, r.parent, list_append(w.path, r.parent) from w join rest r on r.id = w.at_ where not list_contains(w.path, r.parent)),
 far as (select start, arg_max(path, len(path)) path, arg_max(at_, len(path)) at_ from w group by 1),
@@ -103,6 +117,7 @@ select t.id as concept_id, t.parent as parent_id, t.root as root_id, t.depth::in
 
 ORACLE = {
     "p1_found": _P1,
+    "p1_nodes": _P1_NODES,
     "p6_found": _P6_FOUND,
     "p2_found": _P2 + "select * from found where reason is not null",
     "p2_report": _P2 + "select ref_table, ref_field, period, reason, count(*) n_refs from found where reason is not null group by all",
