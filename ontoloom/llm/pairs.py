@@ -1,11 +1,13 @@
 """Problem 5: broken prompt and response pairs.
 
-In an answer, what it takes over from its prompt becomes one mark and numbers become another, which leaves the template.
-Openings of five-unit shingles are clustered by MinHash and verified; a template that recurs across unrelated prompts
-(of several categories, none dominant) says nothing about any of them: it is a refusal, if it isn't in another language
-or a copy.  Whether an unfinished last sentence breaks off is read from how often its last units end sentences in all
-answers.  Copy and language checks label the rest.  "Unrelated" alone isn't enough to tell a refusal where categories
-are noisy, so a cluster must also apologise or decline; shingles of such clusters then find the refusals that do neither.
+In an answer, what it takes over from its prompt becomes one mark, numbers and identifiers become another, which leaves
+the template; its opening are its first clauses.  Clauses are clustered by MinHash over five-unit shingles, verified.  A
+clause that recurs across unrelated prompts says nothing about any of them, and an answer whose opening has no other
+clauses is a refusal, if it isn't in another language or a copy.  Prompts are unrelated if no two neighbouring units
+stand in most of them, or in notably more of them than in all prompts, as the words of a common question would.  Shingles that refusals have
+nearly alone find those with a clause too rare to tell.  No phrase of declining is given.  Whether an unfinished last
+sentence breaks off is read from how often its last units end sentences in all answers.  Copy and language checks label
+the rest.
 
 Results: exactly one defect per pair, in the order empty, copied, refusal, other_language, truncated.  A null answer is
 empty; a pair whose question is null or unknown can't be copied or in another language; rows with the same table and id
@@ -20,6 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 from hashlib import blake2b
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -33,9 +36,14 @@ OPENING_UNITS = 14
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
-LEAST_PROMPTS = 4
-LEAST_KINDS = 3
-MOST_OF_ONE_KIND = 0.6
+#: Prompts that a clause must recur across.
+LEAST_PROMPTS = 6
+#: How much more often than in all prompts a pair of neighbouring units may stand in a clause's n unrelated prompts: the first and the second over the root of n, which is what chance adds.
+MORE, CHANCE = 0.15, 0.75
+#: Share of a clause's prompts from which on a pair of units makes them related, however common it is in all.
+MOST_ALIKE = 0.6
+#: Unmarked units of a clause that can be refused with: shorter answers (yes, none found) may be any prompt's.
+OWN_UNITS = 4
 ENDS = 0.05
 RECURS = 3
 SHORT = 12
@@ -44,17 +52,14 @@ SHORT = 12
 STAND_INS = set("na none null nan nil undefined empty 空 无回答 无答案 暂无 暂无回答 暂无答案 待补充 待填写 未作答 未回答 没有回答 noanswer tbd todo blank missing notavailable 空白 无内容 答案缺失".split())
 #: Words that lead in the question only.
 LEAD_INS = set("您问的是 你问的是 您的问题是 你的问题是 问题是 问题 问 您问 question q youasked yourquestion yourquestionis yourquestionwas thequestionis thequestion youareasking 你问 关于 on about".split())
-#: How an answer is declined, in the first person or without one.
-DECLINES = re.compile(r"(我|恕|暂时|这里|目前|本助手|本系统)[^，。,.]{0,8}(无法|不能|没办法|难以|不便|不方便|拒绝|没有足够|不予)[^，。,.]{0,8}(回答|作答|答复|答案|协助|帮|处理|提供|透露|讨论|解答|告知|请求)|拒绝回答|不作回答|无可奉告|超出了?我?的?(能力|知识|服务)|被限制讨论|\b(i|we)('m| am| are|'re)? (sorry|unable|not able|afraid|can ?not|can't|won't|will not|must decline|decline|do not have|don't have|have to decline)\b[^.]{0,50}\b(help|assist|answer|provide|discuss|respond|share|say|do that|information|comment|that request|do so)\b|\b(i|we) (can ?not|can't|won't) (help|assist|answer|provide|discuss|say|comment|share|respond|do)|\b(outside|beyond) (of )?(my|what i)\b|\bas an (ai|assistant)[^.]{0,60}(can ?not|can't|unable|not able|won't)|\bi('d| would) rather not\b|\bi (must |have to )?(decline|refuse)\b", re.I)
-
-#: Apologies that an answer may begin with, and reports of having found nothing, which are answers.
-APOLOGY = r"^(您好|你好)?(非常|很|十分|实在)?(抱歉|对不起|遗憾|不好意思)|^(i'm|iam|we're|weare)?(very)?(sorry|unfortunately|regret|apolog)"
-NOT_FOUND = r"没有找到|未找到|没有查到|未查到|没有可达|notfound|nopath|noresult"
+#: Share of a shingle's answers that must be refusals for it to tell others.
 MOSTLY = 0.6
 
 _HAN = "㐀-鿿"
 _UNIT = re.compile(rf"[{_HAN}]|[^\W\d_]+(?:['’][a-z]+)?|\d+(?:[.,]\d+)*|[^\w\s]|\n")
 _STOP = set("。！？!?；;\n…")
+_PAUSE = set("，,：:")
+CLAUSE = " | "
 _BULLETS = re.compile(r"(?m)^[\s]*[-*•·‣][\s]+")
 _LATIN = re.compile(rf"[^\W\d_{_HAN}぀-ヿ가-힯Ѐ-ӿ؀-ۿ฀-๿]{{2,}}")
 _IDENTIFIER = re.compile(r"\b\w*(?:_\w+)+|\b[a-z]+(?:[A-Z][a-z0-9]*)+\b|\b\w+\([^)]*\)|“[^”]*”|\"[^\"]*\"|`[^`]*`")
@@ -188,9 +193,22 @@ def tail(sentence: list[str], n: int) -> int:
     return _h(["^"] * max(0, n - len(sentence)) + sentence[-n:] if n else [])
 
 
-def opening(units: list[str]) -> list[str]:
-    words = [x for x in units if x.isalnum() or x == "\n"]
-    return [x for x in words if x != "\n"][:OPENING_UNITS]
+def opening(units: list[str]) -> str:
+    """Clauses of the masked units' beginning, at most OPENING_UNITS words and the rest of the clause they end in."""
+    out: list[str] = []
+    now: list[str] = []
+    n = 0
+    for x in units:
+        if x in _STOP or x in _PAUSE or x == ".":
+            if now:
+                out.append(" ".join(now))
+                now = []
+            if n >= OPENING_UNITS:
+                break
+        elif any(c.isalnum() for c in x):
+            now.append(x)
+            n += 1
+    return CLAUSE.join([*out, " ".join(now)] if now else out)
 
 
 def template(collapsed: list[str], last: list[str]) -> int:
@@ -213,47 +231,63 @@ def stands(units: list[str]) -> Iterator[tuple[int, bool]]:
             yield template(collapsed, last), not rest or rest[0] in _STOP or rest[0] == "." and rest[1:] != ["0"]
 
 
-FEATURES = "pair_table string, row_id string, kind string, question_key bigint, simple string, declines boolean, opening string, whole bigint, short boolean, t3 bigint, t2 bigint"
+def prompt_grams(q: list[str]) -> list[int]:
+    """Pairs of neighbouring words or ideographs of a prompt, hashed."""
+    w = [x for x in q if x.isalnum()]
+    return list({crc32(f"{x} {y}".encode("utf-8", "surrogatepass")) - (1 << 31) for x, y in zip(w, w[1:])})
+
+
+SEP = "\x1f"
+FEATURES = "pair_table string, row_id string, question_key bigint, simple string, opening string, grams array<int>, units string, whole bigint, short boolean, t3 bigint, t2 bigint"
 
 
 def pairs(qa: DataFrame, results: DataFrame) -> DataFrame:
-    """(pair_table, row_id, question, answer, kind): both tables' pairs once each; kind is the category of the question."""
-    q = qa.groupBy(F.col("id").alias("row_id")).agg(F.max(F.struct("ground_truth", "question", "category")).alias("v")).select("row_id", F.col("v.question").alias("question"), F.col("v.ground_truth").alias("answer"), F.col("v.category").alias("kind"))
+    """(pair_table, row_id, question, answer): both tables' pairs once each."""
+    q = qa.groupBy(F.col("id").alias("row_id")).agg(F.max(F.struct("ground_truth", "question")).alias("v")).select("row_id", F.col("v.question").alias("question"), F.col("v.ground_truth").alias("answer"))
     r = results.where("available is null or available").groupBy("result_id").agg(F.max(F.struct("answer", "qa_id")).alias("v")).select(F.col("result_id").cast("string").alias("row_id"), F.col("v.qa_id").alias("qa_id"), F.col("v.answer").alias("answer"))
-    known = q.select(F.col("row_id").alias("qa_id"), "question", "kind")
-    r = r.join(known, "qa_id", "left").select("row_id", "question", "answer", "kind")
-    return q.withColumn("pair_table", F.lit("qa_dataset")).unionByName(r.withColumn("pair_table", F.lit("condition_result"))).where("row_id is not null").select("pair_table", "row_id", "question", "answer", "kind")
+    known = q.select(F.col("row_id").alias("qa_id"), "question")
+    r = r.join(known, "qa_id", "left").select("row_id", "question", "answer")
+    return q.withColumn("pair_table", F.lit("qa_dataset")).unionByName(r.withColumn("pair_table", F.lit("condition_result"))).where("row_id is not null").select("pair_table", "row_id", "question", "answer")
 
 
 def features(p: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for q, a in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 simple = "empty" if is_empty(a) else "copied" if is_copy(q, a) else ""
-                u = [] if simple else masked(q or "", a)
-                if not simple and other_language(q, a):
-                    simple = "other_language"
-                rest = [] if simple or bracketed(a) else sentences(shown(u))[1]
+                whole = masked(q or "", a or "")
+                u = [] if simple else whole
+                words = u
+                if not simple:
+                    if other_language(q, a):
+                        simple = "other_language"
+                    if _IDENTIFIER.search(a):
+                        words = masked(q or "", _IDENTIFIER.sub(" 0 ", a))
+                rest = [] if not u or bracketed(a) else sentences(shown(u))[1]
+                if simple:
+                    rest = []
                 last = shown(u)[-3:]
                 u = collapse(u)
-                row = (_h([plain(q or "")]), simple, bool(a and DECLINES.search(unicodedata.normalize("NFKC", a))), " ".join(opening(u)), template(u, last), len(u) <= SHORT, tail(rest, 3) if rest else None, tail(rest, 2) if rest else None)
+                begins = opening(collapse(words))
+                grams = prompt_grams(unit_list(q or "")) if begins and not simple else []
+                row = (_h([plain(q or "")]), simple, begins, grams, SEP.join(whole), template(u, last), len(u) <= SHORT, tail(rest, 3) if rest else None, tail(rest, 2) if rest else None)
                 for c, v in zip(cols, row):
                     c.append(v)
-            kinds = (pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["pair_table", "row_id", "kind", "question_key", "simple", "declines", "opening", "whole", "short", "t3", "t2"])
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[f.split()[0] for f in FEATURES.split(", ")])
 
     return p.mapInArrow(run, FEATURES)
 
 
-def ending_counts(p: DataFrame) -> DataFrame:
+def ending_counts(f: DataFrame) -> DataFrame:
     """(h, ends, mids): how often each run of two or three units ends a sentence and how often it stands inside one, over all answers; likewise how often each template is a whole answer or sentence and how often it goes on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[int, list[int]] = {}
-            for q, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                units = masked(q or "", a or "")
+            for joined in b.column(0).to_pylist():
+                units = joined.split(SEP) if joined else []
                 for h, ended in stands(units):
                     seen.setdefault(h, [0, 0])[0 if ended else 1] += 1
                 done, rest = sentences(shown(units))
@@ -268,7 +302,7 @@ def ending_counts(p: DataFrame) -> DataFrame:
                             c[0 if k == last else 1] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([c[0] for c in seen.values()], pa.int64()), pa.array([c[1] for c in seen.values()], pa.int64())], names=["h", "ends", "mids"])
 
-    return p.select("question", "answer").mapInArrow(run, "h bigint, ends bigint, mids bigint").groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids"))
+    return f.select("units").mapInArrow(run, "h bigint, ends bigint, mids bigint").groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("mids").alias("mids"))
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -344,29 +378,52 @@ def clusters(openings: DataFrame) -> DataFrame:
             return label
 
 
-def refusal_templates(f: DataFrame) -> DataFrame:
-    """Openings that decline.
-
-    First the clusters of openings most of which decline in so many words, and those that begin with an apology and
-    recur across unrelated prompts (LEAST_PROMPTS or more, of LEAST_KINDS categories, none dominating).  Then, whatever
-    they begin with, the openings that share a shingle which LEAST_PROMPTS of those have and which is theirs mostly."""
-    open_ = f.where("simple = '' and opening != ''")
-    per = open_.groupBy("opening", F.coalesce("kind", F.lit("")).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if("declines").alias("d"))
-    per = cut(per)
-    c = clusters(per.select("opening").distinct())
-    sorry = F.regexp_replace("opening", " ", "").rlike(APOLOGY) & ~F.regexp_replace("opening", " ", "").rlike(NOT_FOUND)
-    by_kind = per.join(c, "opening").groupBy("cluster", "kind").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum(F.when(sorry, F.col("n")).otherwise(0)).alias("s"))
-    spread = by_kind.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("s").alias("s"), F.max("n").alias("most"), F.count(F.lit(1)).alias("kinds"))
-    unrelated = (F.col("n") >= LEAST_PROMPTS) & (F.col("kinds") >= LEAST_KINDS) & (F.col("most") <= MOST_OF_ONE_KIND * F.col("n"))
-    good = spread.where((F.col("d") * 2 >= F.col("n")) | unrelated & (F.col("s") * 2 >= F.col("n")))
-    sure = cut(c.join(good.select("cluster"), "cluster", "left_semi").select("opening"))
-    units = F.split("opening", " ")
+def told(opening: Column) -> Column:
+    """Five-unit shingles of an opening's clauses that hold no mark, once each."""
+    units = F.split(opening, " ")
     runs = F.when(F.size(units) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.greatest(F.size(units) - SHINGLE + 1, F.lit(1))), lambda k: F.array_join(F.slice(units, k, F.lit(SHINGLE)), " "))).otherwise(F.array().cast("array<string>"))
-    told = F.filter(F.array_distinct(runs), lambda x: ~x.rlike("(^| )[E0]( |$)"))
-    each = per.groupBy("opening").agg(F.sum("n").alias("n")).join(sure.withColumn("sure", F.lit(1)), "opening", "left")
-    sh = cut(each.select("opening", "n", F.coalesce("sure", F.lit(0)).alias("sure"), F.explode(told).alias("shingle")))
+    return F.filter(F.array_distinct(runs), lambda x: ~x.rlike("(^| )[E0|]( |$)"))
+
+
+def unrelated(asked: DataFrame, prompts: DataFrame) -> DataFrame:
+    """(cluster) of the clusters that recur across LEAST_PROMPTS unrelated prompts.
+
+    asked: cluster, question_key; prompts: question_key, grams, each once.  A prompt counts once in a cluster, however often it got the answer."""
+    each = cut(asked.distinct())
+    many = cut(each.groupBy("cluster").agg(F.count(F.lit(1)).alias("prompts")).where(F.col("prompts") >= LEAST_PROMPTS))
+    grams = prompts.select("question_key", F.explode("grams").alias("gram"))
+    base = grams.groupBy("gram").agg((F.count(F.lit(1)) / F.lit(float(max(1, prompts.count())))).alias("usual"))
+    shared = each.join(many.select("cluster"), "cluster").join(prompts, "question_key").select("cluster", F.explode("grams").alias("gram")).groupBy("cluster", "gram").agg(F.count(F.lit(1)).alias("n"))
+    most = shared.join(many, "cluster").join(base, "gram").groupBy("cluster").agg(F.max(F.col("n") / F.col("prompts") - F.col("usual")).alias("more"), F.max(F.col("n") / F.col("prompts")).alias("alike"))
+    return many.join(most, "cluster", "left").where((F.coalesce("more", F.lit(0.0)) <= MORE + CHANCE / F.sqrt("prompts")) & (F.coalesce("alike", F.lit(0.0)) <= MOST_ALIKE)).select("cluster")
+
+
+def refusal_templates(f: DataFrame) -> DataFrame:
+    """Openings of refusals: those all of whose clauses recur across unrelated prompts, one at least with OWN_UNITS units of its own, then the openings with a shingle which LEAST_PROMPTS answers of those have and which is theirs mostly."""
+    asked = f.where("simple = '' and opening != ''")
+    per = cut(asked.groupBy("opening").agg(F.count(F.lit(1)).alias("n")))
+    parts = cut(per.select("opening", F.explode(F.array_distinct(F.split("opening", r" \| "))).alias("clause")))
+    long = F.size(F.split("clause", " ")) >= SHINGLE  # shorter ones are alike only if equal
+    names = parts.select("clause").distinct()
+    c = clusters(names.where(long).select(F.col("clause").alias("opening"))).withColumnRenamed("opening", "clause").unionByName(names.where(~long).withColumn("cluster", F.col("clause")))
+    c = cut(c)
+    prompts = cut(asked.groupBy("question_key").agg(F.first("grams").alias("grams")))
+    met = cut(asked.select("opening", "question_key").distinct().join(parts, "opening").join(c, "clause").select("clause", "cluster", "question_key"))
+    # a clause too rare to tell goes by its first units, if none of them is a mark
+    rare = met.select("cluster", "question_key").distinct().groupBy("cluster").agg((F.count(F.lit(1)) < LEAST_PROMPTS).alias("rare"))
+    first = F.slice(F.split("clause", " "), 1, SHINGLE)
+    start = F.when((F.size(first) == SHINGLE) & ~F.array_contains(first, "E") & ~F.array_contains(first, "0"), F.concat(F.lit("^ "), F.array_join(first, " ")))
+    c = cut(c.join(rare, "cluster").select("clause", F.when(F.col("rare"), start).otherwise(F.col("cluster")).alias("cluster")).where("cluster is not null"))
+    met = met.select("clause", "question_key").join(c, "clause").select("cluster", "question_key")
+    empty = c.join(unrelated(met, prompts), "cluster", "left_semi").select("clause", F.lit(1).alias("empty"))
+    own = F.size(F.filter(F.split("clause", " "), lambda x: ~x.isin("E", "0"))) >= OWN_UNITS
+    judged = parts.join(empty, "clause", "left").groupBy("opening").agg(F.min(F.coalesce("empty", F.lit(0))).alias("all"), F.max(own.cast("int")).alias("own"))
+    sure = cut(judged.where("all = 1 and own = 1").select("opening"))
+    each = per.join(sure.withColumn("sure", F.lit(1)), "opening", "left")
+    sh = cut(each.select("opening", "n", F.coalesce("sure", F.lit(0)).alias("sure"), F.explode(told(F.col("opening"))).alias("shingle")))
     telling = sh.groupBy("shingle").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("sure")).alias("own")).where((F.col("own") >= LEAST_PROMPTS) & (F.col("own") >= MOSTLY * F.col("all")))
-    return sure.unionByName(sh.join(telling, "shingle", "left_semi").select("opening")).distinct()
+    foreign = f.where("simple = 'other_language' and opening != ''").select("opening").distinct().withColumn("shingle", F.explode(told(F.col("opening"))))  # refusals in the other language than the prompt's
+    return sure.unionByName(sh.select("opening", "shingle").unionByName(foreign).join(telling, "shingle", "left_semi").select("opening")).distinct()
 
 
 def _breaks_off(ends: Column, mids: Column) -> Column:
@@ -375,20 +432,18 @@ def _breaks_off(ends: Column, mids: Column) -> Column:
 
 def defects(qa: DataFrame, results: DataFrame) -> DataFrame:
     """pair_table, row_id, defect of each defective pair."""
-    p = cut(pairs(qa, results))
-    f = cut(features(p))
+    f = cut(features(pairs(qa, results)))
     refusals = refusal_templates(f).withColumn("refuses", F.lit(True))
-    counts = cut(ending_counts(p))
+    counts = cut(ending_counts(f))
     often = f.where("simple = '' and short and t3 is not null").groupBy("whole").agg(F.count_distinct("question_key").alias("prompts")).where(F.col("prompts") >= RECURS)
     recurring = often.join(counts.withColumnRenamed("h", "whole"), "whole").where(~_breaks_off(F.col("ends"), F.col("mids"))).select("whole", F.lit(True).alias("recurs"))
     c3 = counts.select(F.col("h").alias("t3"), F.col("ends").alias("e3"), F.col("mids").alias("m3"))
     c2 = counts.select(F.col("h").alias("t2"), F.col("ends").alias("e2"), F.col("mids").alias("m2"))
-    j = f.join(refusals, "opening", "left").join(recurring, "whole", "left")
+    j = f.drop("grams", "units", "question_key").join(refusals, "opening", "left").join(recurring, "whole", "left")
     loose = j.where("t3 is not null").join(c3, "t3", "left").join(c2, "t2", "left")
     n3, n2 = F.coalesce(F.col("e3") + F.col("m3"), F.lit(0)), F.coalesce(F.col("e2") + F.col("m2"), F.lit(0))
     off = F.when(n3 >= 3, _breaks_off(F.col("e3"), F.col("m3"))).when(n2 >= 3, _breaks_off(F.col("e2"), F.col("m2"))).otherwise(True) & F.col("recurs").isNull()
     loose = loose.withColumn("off", off).select(*j.columns, "off")
     done = j.where("t3 is null").withColumn("off", F.lit(False))
-    refused = F.coalesce("refuses", F.lit(False)) | F.col("declines")
-    defect = F.when(F.col("simple").isin("empty", "copied"), F.col("simple")).when(refused, "refusal").when(F.col("simple") != "", F.col("simple")).when(F.col("off"), "truncated")
+    defect = F.when(F.col("simple").isin("empty", "copied"), F.col("simple")).when(F.col("refuses"), "refusal").when(F.col("simple") != "", F.col("simple")).when(F.col("off"), "truncated")
     return loose.unionByName(done).withColumn("defect", defect).where("defect is not null").select("pair_table", "row_id", "defect")

@@ -49,6 +49,17 @@ def test_held_out_truth(spark):
     assert all(a < b for a, b in got)
 
 
+def test_layout_is_learned(spark):
+    """Places of a code name are told by which neighbours go together, whatever their number."""
+    made = en.learn_layout(en.latest(frame(spark, corpus()[0])))
+    assert made == (2, 1, 1, 1, 1)
+    r = random.Random(4)
+    heads, tails = [("red", "fox"), ("blue", "jay"), ("grey", "owl"), ("brown", "bear")], ["day", "night", "noon"]
+    rows = [(f"concept_{i}", "名", "_".join((*r.choice(heads), r.choice(tails), r.choice(["up", "down"]))), None, None, "rdb", None, D(2024, 1, 1)) for i in range(200)]
+    assert en.learn_layout(en.latest(frame(spark, rows))) == (1, 1, 2)
+    assert en.learn_layout(en.latest(frame(spark, [(*rows[0][:2], None, *rows[0][3:])]))) == ()
+
+
 def test_empty(spark):
     assert en.found(frame(spark, corpus()[0][:1]).limit(0)).count() == 0
 
@@ -75,8 +86,8 @@ def test_propagation_is_exact_on_trees(spark):
 
 def test_code_names():
     vocab = {"tea": 2, "order": 1, "cost_calc": 0, "north": 4, "weekly": 3}
-    assert en.keys_in("DWD_NorthWeeklyTeaOrderCostCalc", vocab) == {4: {"north"}, 3: {"weekly"}, 2: {"tea"}, 1: {"order"}, 0: {"cost_calc"}}
-    assert en.code_parts("a_b_c_d_e_f") == [(0, "e_f"), (1, "d"), (2, "c"), (3, "b"), (4, "a")] and en.code_parts("") == []
+    assert en.keys_in("DWD_NorthWeeklyTeaOrderCostCalc", vocab, 2) == {4: {"north"}, 3: {"weekly"}, 2: {"tea"}, 1: {"order"}, 0: {"cost_calc"}}
+    assert en.code_parts("a_b_c_d_e_f", (2, 1, 1, 1, 1)) == [(0, "e_f"), (1, "d"), (2, "c"), (3, "b"), (4, "a")] and en.code_parts("", (2, 1)) == []
 
 
 def test_rare_code_words_beside_a_hot_one(spark):
@@ -86,7 +97,7 @@ def test_rare_code_words_beside_a_hot_one(spark):
     codes += ["t" + "_".join([w[0], "weekly", "tea", "order", "cost_calc"]) for w in SCOPE[:3] for _ in range(6)]
     codes += ["_".join([w[0], "weekly", "tea", "order", "cost_calc"]) for w in SCOPE for _ in range(8)]
     rows = [(f"concept_{i}", "名", c, None, None, "rdb", None, D(2024, 1, 1)) for i, c in enumerate(codes)]
-    assert en.vocabulary(en.latest(frame(spark, rows))) == {w[0]: 4 - k for k, p in enumerate(places) for w in p}
+    assert en.vocabulary(en.latest(frame(spark, rows)), (2, 1, 1, 1, 1)) == {w[0]: 4 - k for k, p in enumerate(places) for w in p}
 
 
 def test_rivals_are_told_by_their_fields(spark):

@@ -31,14 +31,31 @@ def test_language(q, a, want):
     assert pr.other_language(q, a) == want
 
 
-@pytest.mark.parametrize("a", ["抱歉，我无法回答这个问题。", "这类内容我拒绝回答", "I'm sorry, but I can't answer that.", "As an assistant, I don't have enough information to answer.", "恕我难以给出答复", "我不能提供关于标签的信息。"])
-def test_declines(a):
-    assert pr.DECLINES.search(a)
-
-
-@pytest.mark.parametrize("a", ["普通客户无法导出订单。", "不合规时页面提示“抱歉，省份无效”。", "Administrators cannot approve it without an approval.", "已取消之后无法恢复。"])
-def test_sound_negatives(a):
-    assert not pr.DECLINES.search(a)
+def refusing(n=400, share=0.1, seed=7):
+    """Questions of five kinds with sound answers, some with a tail that any answer may have, and refusals in invented words: no phrase of declining is known to the code."""
+    r = random.Random(seed)
+    kinds = [("{}的状态有哪些取值？", "取值包括{}待处理和已完成"), ("{}属于{}吗？", "是，{}是{}的子类"), ("谁有权删除{}？", "管理员需要先提交申请才可删除{}"), ("{}超时后系统怎么处理？", "系统会自动关闭{}并通知主管"), ("如果去掉{}会影响什么？", "{}会失去全部继承关系")]
+    tails = ["。相关负责部门为财务组", "。历史数据按日口径保留", ""]
+    heads, cores, ends = ["啊呀，", "诸位见谅，", ""], ["此题小生答它不出来", "这般言语恕难从命照办", "蓝月亮底下没有这等事"], ["。另寻高明去罢", "", "。且去问问别家"]
+    rows, bad = [], set()
+    for i in range(n):
+        name = "".join(r.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥") for _ in range(4)) + "仓订单"
+        q, a = r.choice(kinds)
+        q, a = (x.replace("{}", name) for x in (q, a))
+        if r.random() < share:
+            a = r.choice(heads) + r.choice(cores) + r.choice(ends)
+            bad.add(f"q{i}")
+        else:
+            a += r.choice(tails)
+        rows.append((f"q{i}", q, r.choice("abcd"), a + "。", D(2024, 1, 1)))
+    return rows, bad
+
+
+def test_refusals_without_any_phrase(spark):
+    rows, bad = refusing()
+    q = spark.createDataFrame(rows, "id string, question string, category string, ground_truth string, created_at timestamp_ntz")
+    got = {x.row_id for x in pr.defects(q, corpus(spark)[1].limit(0)).where("defect = 'refusal'").collect()}
+    assert len(got & bad) >= 0.95 * len(bad) and len(got - bad) <= 0.05 * len(got)
 
 
 def test_lcs_of_openings():
@@ -79,7 +96,7 @@ def test_clusters_against_all_pairs(spark):
 def corpus(spark):
     cats = ["a", "b", "c", "d"]
     qa = [(f"q{i}", f"第{i}号甲仓冷链订单的状态有哪些取值？", cats[i % 4], f"取值包括待处理、处理中、已完成。第{i}号甲仓冷链订单初始为待处理。相关负责部门为财务组" + "。" * (i % 2)) for i in range(60)]
-    bad = {"q1": ("", "empty"), "q2": (qa[2][1], "copied"), "q3": ("系统会自动处理第3号甲仓冷链订单，同时由于", "truncated"), "q4": ("The request closes by itself after all.", "other_language"), "q5": ("这个事项不便多说，您可以换一个话题来聊。暂时不能协助处理这类请求", "refusal")}
+    bad = {"q1": ("", "empty"), "q2": (qa[2][1], "copied"), "q3": ("系统会自动处理第3号甲仓冷链订单，同时由于", "truncated"), "q4": ("The request closes by itself after all.", "other_language")}
     qa = [(i, q, c, bad.get(i, (a,))[0]) for i, q, c, a in qa]
     cr = [(100, "q7", "没有可达路径", True), (101, "q8", "没有可达路径", True), (102, "q9", "没有可达路径", True), (103, "q1", "x", False), (104, "gone", None, True), (105, "q6", "取值包括待处理、处理中、已完成", True), (105, "q6", "取值包括待处理、处理中、已完成", True)]
     q = spark.createDataFrame([(*x, D(2024, 1, 1)) for x in [*qa, qa[1]]], "id string, question string, category string, ground_truth string, created_at timestamp_ntz")
