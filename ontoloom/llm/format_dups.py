@@ -19,10 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ontoloom.llm import sql_canon
-from ontoloom.session import cut
+from ontoloom.session import cut, discard
 
+#: Most texts that one trie holds in memory, at every size of the input.
 BUCKET_ROWS = 50_000
-MOST_OVERSIZED = 4096
+#: Most groups that are joined by broadcast: those with over this part of all rows.
+MOST_HOT = 4096
 FIRST_BYTES = 8
 FLUSH = 100_000
 STRIDE = 16
@@ -100,23 +102,21 @@ def partial_counts(rows: DataFrame) -> DataFrame:
 
 
 def radix_buckets(counts: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """counts with `bucket`, the shortest of the prefixes of 8, 16, 32, ... bytes that at most `limit` rows share.
-
-    limit is at least a 4096th of all rows, so no level has more than 4096 oversized prefixes: that bounds what is
-    broadcast at every size.  A prefix that holds whole texts only cannot be split further and needs none: it is one
-    text, one counter."""
-    spark = counts.sparkSession
-    limit = max(bucket_rows, -(-counts.count() // MOST_OVERSIZED))
-    out = counts.withColumn("bucket", F.substring("canon", 1, FIRST_BYTES))
-    bytes_, open_rows = FIRST_BYTES, counts
+    """counts with `bucket`, the shortest of the prefixes of 8, 16, 32, ... bytes that at most bucket_rows rows share.
+
+    Each level's oversized prefixes are a table, joined by whatever way its size allows; only rows under them go on to
+    the next level.  A prefix that holds whole texts only cannot be split further and needs none: it is one text, one
+    counter."""
+    bytes_, open_rows, done = FIRST_BYTES, counts, None
     while True:
-        cur = F.substring("canon", 1, bytes_)
-        big = [r.p for r in open_rows.where(F.octet_length("canon") > bytes_).groupBy(cur.alias("p")).count().where(F.col("count") > limit).select("p").collect()]
-        if not big:
-            return out
-        over = F.broadcast(spark.createDataFrame([(p,) for p in big], "bucket binary"))
-        out = out.join(over.withColumn("deeper", F.lit(True)), "bucket", "left").withColumn("bucket", F.when(F.col("deeper"), F.substring("canon", 1, bytes_ * 2)).otherwise(F.col("bucket"))).drop("deeper")
-        open_rows = open_rows.withColumn("bucket", cur).join(over, "bucket", "left_semi").drop("bucket")
+        keyed = open_rows.withColumn("bucket", F.substring("canon", 1, bytes_))
+        over = cut(keyed.where(F.octet_length("canon") > bytes_).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_rows).select("bucket"))
+        if over.isEmpty():
+            discard(over)
+            return keyed if done is None else done.unionByName(keyed)
+        fits = keyed.join(over, "bucket", "left_anti")
+        done = fits if done is None else done.unionByName(fits)
+        open_rows = cut(keyed.join(over, "bucket", "left_semi").drop("bucket"))
         bytes_ *= 2
 
 
@@ -154,7 +154,7 @@ def found(log: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(first_log_id, log_id) of each copy but the first.  Groups with over a 4096th of all rows, 4096 at most, are joined by broadcast; the rest by shuffle."""
     rows = cut(canonical_rows(log))
     g = cut(groups(rows, bucket_rows).where("n_copies > 1"))
-    hot = max(1000, -(-rows.count() // MOST_OVERSIZED))
+    hot = max(1000, -(-rows.count() // MOST_HOT))
     many = F.broadcast(g.where(F.col("n_copies") > hot).select("canon", F.col("first_log_id").alias("hot_first")))
     marked = rows.select("log_id", "canon").join(many, "canon", "left")
     easy = marked.where("hot_first is not null").select(F.col("hot_first").alias("first_log_id"), "log_id")

@@ -39,7 +39,7 @@ def refusing(n=400, share=0.1, seed=7):
     heads, cores, ends = ["啊呀，", "诸位见谅，", ""], ["此题小生答它不出来", "这般言语恕难从命照办", "蓝月亮底下没有这等事"], ["。另寻高明去罢", "", "。且去问问别家"]
     rows, bad = [], set()
     for i in range(n):
-        name = "".join(r.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥") for _ in range(4)) + "仓订单"
+        name = "".join(r.choice("甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥") for _ in range(4)) + r.choice(["仓订单", "库钱包", "店货架", "区标签", "港运单", "柜批次", "行报价", "架库存"])
         q, a = r.choice(kinds)
         q, a = (x.replace("{}", name) for x in (q, a))
         if r.random() < share:
