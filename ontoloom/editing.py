@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions.ids import norm_id
 from ontoloom.operators import enrich, graph, reason
 from ontoloom.session import cut
+from ontoloom.sources import files
 
 #: What refers to what, and the roles that may write.
 REFERENCES = {"properties": ["domain"], "relations": ["domain", "range"], "axioms": ["subject", "object"], "taxonomy": ["child", "parent"]}
@@ -69,6 +70,10 @@ class Editor:
         self.tables[kind] = self.tables[kind].where(~F.coalesce(norm_id("id") == ref.strip().lower(), F.lit(False)))
         self._done("delete", kind, ref)
 
+    def save(self, path: str) -> None:
+        """All tables and the log of changes as Parquet under path."""
+        files.save_ontology({**self.tables, "change_log": self.changes()}, path)
+
     def changes(self) -> DataFrame:
         return self.spark.createDataFrame(self.log, "change_id bigint, op string, target string, ref string, changed_at timestamp_ntz")
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"[\s\p{Z}]"
@@ -31,6 +31,14 @@ def ngrams(c: Column | str, n: int) -> Column:
     return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+def substrings(rows: DataFrame, column: str, names: DataFrame) -> DataFrame:
+    """rows with `k`, each distinct lower-cased substring of column of a length that names (k) have; containment of names is then an equality join.  Only the lengths reach the driver."""
+    lengths = [r.n for r in names.select(F.length("k").alias("n")).where("n > 0").distinct().orderBy("n").collect()]
+    q = F.lower(F.col(column))
+    pieces = [ngrams(q, n) for n in lengths] or [F.array().cast("array<string>")]
+    return rows.where(F.col(column).isNotNull()).withColumn("k", F.explode(F.array_distinct(F.concat(*pieces))))
+
+
 def answer_tokens(c: Column | str) -> Column:
     """Distinct tokens of an answer: lower-case Latin words of two or more characters, and bigrams over its ideographs taken together."""
     c = F.lower(F.col(c) if isinstance(c, str) else c)

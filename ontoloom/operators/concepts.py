@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.functions.text import indel_ratio, ngrams, trim
+from ontoloom.functions.text import indel_ratio, ngrams, substrings, trim
 from ontoloom.operators.graph import components
 from ontoloom.session import cut
 
@@ -140,7 +140,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, top: int = 10, key: str = "v
 def substring_hierarchy(concepts: DataFrame) -> DataFrame:
     """(child, parent, confidence): names that contain another, with fewer instances; joined by equality of substrings, not pairwise; concepts: name, instance_count."""
     n = concepts.where("name is not null and instance_count > 0").groupBy("name").agg(F.max("instance_count").alias("n"))
-    longest = n.agg(F.max(F.length("name"))).first()[0] or 1
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(F.length("name") > k, F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - k + 1, F.lit(1))), lambda i: F.substring("name", i, k))).otherwise(F.array().cast("array<string>"))))
-    c = n.select(F.col("name").alias("child"), F.col("n").alias("cn"), F.explode(F.array_distinct(subs)).alias("parent"))
-    return c.join(n.select(F.col("name").alias("parent"), F.col("n").alias("pn")), "parent").where("child != parent and cn < pn").select("child", "parent", F.lit(0.6).alias("confidence"))
+    p = n.select(F.col("name").alias("parent"), F.lower("name").alias("k"), F.col("n").alias("pn"))
+    c = substrings(n.select(F.col("name").alias("child"), F.col("n").alias("cn")), "child", p)
+    return c.join(p, "k").where("child != parent and cn < pn and contains(child, parent)").select("child", "parent", F.lit(0.6).alias("confidence"))

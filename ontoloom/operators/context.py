@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.functions.text import ngrams
-
-
-def _substrings(c: str, longest: int) -> Column:
-    q = F.lower(c)
-    pieces = F.transform(F.sequence(F.lit(2), F.lit(max(2, longest))), lambda n: F.when(F.length(q) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - n + 1, F.lit(1))), lambda i: F.substring(q, i, n))).otherwise(F.array().cast("array<string>")))
-    return F.array_distinct(F.flatten(pieces))
+from ontoloom.functions.text import ngrams, substrings
 
 
 def relevance(questions: DataFrame, concepts: DataFrame, top: int = 20) -> DataFrame:
@@ -23,8 +17,7 @@ def relevance(questions: DataFrame, concepts: DataFrame, top: int = 20) -> DataF
     q = questions.where("question is not null").select("question_id", "question")
     c = concepts.select("id", F.lower("name").alias("name"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), F.lower).alias("aliases"), F.array_distinct(ngrams(F.lower(F.coalesce("description", F.lit(""))), 2)).alias("g"))
     terms = c.select("id", F.col("name").alias("k"), F.lit(5).alias("w")).unionByName(c.select("id", F.explode("aliases").alias("k"), F.lit(3).alias("w"))).where("length(k) >= 2")
-    longest = terms.agg(F.max(F.length("k"))).first()[0] or 2
-    subs = q.select("question_id", F.explode(_substrings("question", longest)).alias("k"))
+    subs = substrings(q, "question", terms).select("question_id", "k")
     named = subs.join(terms, "k").groupBy("question_id", "id").agg(F.sum("w").alias("w"))
     asked = q.select("question_id", F.array_distinct(ngrams(F.lower("question"), 2)).alias("qg"))
     shares = named.join(asked, "question_id").join(c.select("id", "g"), "id").select("question_id", "id", (F.col("w") + F.when(F.arrays_overlap("qg", "g"), 1).otherwise(0)).alias("score"))

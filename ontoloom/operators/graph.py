@@ -94,14 +94,26 @@ def remove_cycles(edges: DataFrame, default: float = 0.5) -> tuple[DataFrame, Da
         gone = worst if gone is None else gone.unionByName(worst)
 
 
-def levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """(id, level): longest way up to a node without parent, of acyclic graphs; nodes on or below cycles are left out.  One round per level, as a longest path needs."""
+def attach(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """(child, parent, confidence) of `more` whose child has no parent in edges (child, parent): the most confident of each child, ties to the least parent; no node is its own parent."""
+    free = more.where("child is not null and parent is not null and child != parent").join(edges.select("child").distinct(), "child", "left_anti")
+    return free.groupBy("child").agg(F.min_by(F.struct("parent", "confidence"), F.struct(-F.coalesce("confidence", F.lit(0.0)), F.col("parent"))).alias("v")).select("child", "v.parent", "v.confidence")
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(id, level): longest way up to a node without parent; nodes on or below cycles are left out.
+
+    Where each node has one parent the level is the depth, found by doubling.  Else it takes a round per level, as a
+    longest path needs, until no node is left."""
     e = cut(edges.where("child is not null and parent is not null").select("child", "parent").distinct())
+    if e.groupBy("child").count().where("count > 1").isEmpty():
+        ids = e.select(F.col("child").alias("id"), "parent").unionByName(e.select(F.col("parent").alias("id")).distinct().join(e.select(F.col("child").alias("id")), "id", "left_anti").withColumn("parent", F.lit(None).cast("string")))
+        return hierarchy.climb(ids)[0].select("id", F.col("depth").alias("level"))
     ids = e.select(F.col("child").alias("id")).unionByName(e.select(F.col("parent").alias("id"))).distinct()
     done = cut(ids.join(e.select(F.col("child").alias("id")), "id", "left_anti").withColumn("level", F.lit(0)))
     front, left, k = done.select("id"), e, 0
     out = done
-    while k < max_rounds:
+    while True:
         k += 1
         rest = cut(left.join(front.withColumnRenamed("id", "parent"), "parent", "left_anti"))
         touched = left.join(front.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
@@ -110,7 +122,8 @@ def levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
         if front.isEmpty():
             return out
         out = out.unionByName(front.withColumn("level", F.lit(k)))
-    return out
+        if k % 20 == 0:  # or the plan grows with the levels
+            out = cut(out)
 
 
 def paths(relations: DataFrame, questions: DataFrame, max_hops: int = 4) -> DataFrame:

@@ -23,6 +23,7 @@ HEARST = {
     "cn_one_of": (rf"({_T}{{2,20}}?)是({_T}{{2,20}}?)的一(?:种|个|类)", 1, 2, 0.95, "的一"),
     "cn_includes": (rf"({_T}{{2,20}}?)包括({_T}{{2,20}})", 2, 1, 0.95, "包括"),
     "cn_divides": (rf"({_T}{{2,20}}?)分为({_T}{{2,20}})", 2, 1, 0.95, "分为"),
+    "en_is_a": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) is an? ([A-Za-z][A-Za-z0-9_ ]{1,40})", 1, 2, 0.90, " is a"),
     "en_kind_of": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) is an? kind of ([A-Za-z][A-Za-z0-9_ ]{1,40})", 1, 2, 0.90, " kind of "),
     "en_such_as": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) such as ([A-Za-z][A-Za-z0-9_ ]{1,40})", 2, 1, 0.90, " such as "),
     "en_including": (r"([A-Za-z][A-Za-z0-9_ ]{1,40}?) including ([A-Za-z][A-Za-z0-9_ ]{1,40})", 2, 1, 0.90, " including "),
@@ -35,6 +36,7 @@ FLOW = rf"({WORD}+(?:[ ]*(?:->|→)[ ]*{WORD}+)+)"
 PERMISSION = {"deny": rf"({WORD}+?)不(?:能|可以|可)({HAN}+)", "allow": rf"({WORD}+?)(?:可以|有权)({HAN}+)"}
 DERIVATION = rf"({HAN}{{2,12}})[ ]*[=＝][ ]*({HAN}{{2,12}}(?:[ ]*[+\-×÷*/][ ]*{HAN}{{2,12}})+)"
 LIMIT_DIGITS = rf"({HAN}+)必须[为是](\d+)位"
+LIMIT_LEAST = rf"({HAN}+)必须[大≥]于?[等=]?(\d+(?:\.\d+)?)"
 LIMIT_LENGTH = rf"({HAN}+)不超过(\d+)个字符"
 
 
@@ -73,7 +75,7 @@ def hearst(docs: DataFrame, patterns: dict = HEARST) -> DataFrame:
     any_cue = "|".join(x[4] for x in patterns.values())
     pieces = docs.where("text is not null").select("doc_id", F.explode(F.split("text", _T.replace("[^", "[")).alias("pieces")).alias("piece")).where(piece.rlike(any_cue))
     links = pieces.select("doc_id", F.explode(F.concat(*found)).alias("m")).select("doc_id", "m.*")
-    good = links.where("length(child) >= 2 and length(parent) >= 2 and child != parent")
+    good = links.where("length(child) >= 2 and length(parent) >= 2 and child != parent and parent not like 'kind of %'")
     return good.groupBy("child", "parent").agg(F.max("confidence").alias("confidence"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -85,6 +87,11 @@ def triggers(docs: DataFrame) -> DataFrame:
     return late.unionByName(after).groupBy(*keys).agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
+def exceptions(found: DataFrame, words: tuple[str, ...] = ("取消",)) -> DataFrame:
+    """Handlers of exceptions: time-out triggers whose action has one of the words."""
+    return found.where("event_type = 'time_based'").where(F.col("action_detail").rlike("|".join(words)))
+
+
 def operations(docs: DataFrame) -> DataFrame:
     """(name, actor, n): actions that an actor may take, the least actor of those that state it."""
     return _finds(docs, OPERATION, 1, 2).where("length(g2) >= 2").groupBy(F.col("g2").alias("name")).agg(F.min("g1").alias("actor"), F.count(F.lit(1)).alias("n"))
@@ -119,10 +126,11 @@ def derivations(docs: DataFrame) -> DataFrame:
 
 
 def limits(docs: DataFrame) -> DataFrame:
-    """(subject, kind, bound, n_docs): digits a value must have, characters it may have at most."""
+    """(subject, kind, bound, n_docs): digits a value must have, characters it may have at most, numbers it must exceed or reach."""
     a = _finds(docs, LIMIT_DIGITS, 1, 2).withColumn("kind", F.lit("digits"))
     b = _finds(docs, LIMIT_LENGTH, 1, 2).withColumn("kind", F.lit("max_length"))
-    return a.unionByName(b).groupBy(F.col("g1").alias("subject"), "kind", F.expr("try_cast(g2 as bigint)").alias("bound")).agg(F.count_distinct("doc_id").alias("n_docs"))
+    c = _finds(docs, LIMIT_LEAST, 1, 2).withColumn("kind", F.lit("min_value"))
+    return a.unionByName(b).unionByName(c).groupBy(F.col("g1").alias("subject"), "kind", F.expr("try_cast(g2 as double)").alias("bound")).agg(F.count_distinct("doc_id").alias("n_docs"))
 
 
 #: Sequences that name a role.

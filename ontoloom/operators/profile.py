@@ -62,6 +62,15 @@ def skew(df: DataFrame, cols: list[str], threshold: float = 0.95) -> DataFrame:
     return top.select("column_name", "modal_value", F.round("share", 6).alias("share"), (F.col("share") >= threshold).alias("skewed"))
 
 
+def usable_columns(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(column_name, triage, modal_value, share, skewed): skew of the columns that nulls don't rule out; a column without values has no row."""
+    rates = null_rates(df, cols).where("triage != 'ignored'").select("column_name", "triage")
+    kept = [r.column_name for r in rates.collect()]  # as many as the columns asked for
+    if not kept:
+        return rates.join(skew(df.limit(0), cols), "column_name").select("column_name", "triage", "modal_value", "share", "skewed")
+    return rates.join(skew(df, kept), "column_name").select("column_name", "triage", "modal_value", "share", "skewed")
+
+
 def stratified_sample(df: DataFrame, key: str, cols: list[str], full: int = 1000, sparse: int = 100) -> DataFrame:
     """A sampling operator: (key, stratum) of the `full` rows with most filled columns and of `sparse` rows with under 30 % filled.
 

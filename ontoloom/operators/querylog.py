@@ -14,6 +14,7 @@ WHERE = r"(?i)\bwhere\s+(.+?)(?:\s+group\s+by\b|\s+order\s+by\b|\s+limit\b|\s+ha
 AGG = rf"(?i)\b(sum|count|avg|max|min)\s*\(\s*{Q}({W})"
 GROUP = r"(?i)\bgroup\s+by\s+(.+?)(?:\s+order\s+by\b|\s+limit\b|\s+having\b|[\s;]*$)"
 GAP = rf"(?i)(?:{Q}({W})[`\"'\]]?\s+is\s+(?:not\s+)?null)"
+GAP_CALL = rf"(?i)\b(?:coalesce|ifnull|isnull)\s*\(\s*(?:[a-z]\.)?{Q}({W})"
 FIRST_COLUMN = rf"(?i)\bwhere\s+\(?(?:[a-z]\.)?{Q}({W})[`\"'\]]?\s*(?:=|<|>|like\b|is\b|in\b)"
 ORDER_COLUMN = rf"(?i)\border\s+by\s+(?:[a-z]\.)?{Q}({W})"
 
@@ -52,16 +53,21 @@ def aggregates(log: DataFrame) -> DataFrame:
     return c.groupBy(F.col("p.f").alias("function"), F.col("p.c").alias("column_name"), "group_by").agg(F.count(F.lit(1)).alias("n_queries"))
 
 
-def joins(log: DataFrame) -> DataFrame:
-    """(tables, kind, n_queries): sets of tables read together; over three are cross_source."""
+def joins(log: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(tables, kind, n_queries): sets of tables read together, of those that `known` (table_name) has if given; over three are cross_source."""
     t = F.array_sort(_all(TABLE))
     c = clean(log).select(t.alias("t")).where(F.size("t") >= 2)
+    if known is not None:
+        sets = c.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+        hit = sets.select("t", "n", F.explode("t").alias("table_name")).join(known.select(F.lower("table_name").alias("table_name")).distinct(), "table_name")
+        c = hit.groupBy("t", "n").agg(F.array_sort(F.collect_list("table_name")).alias("k")).where(F.size("k") >= 2).select(F.col("k").alias("t"), "n")
+        return c.groupBy(F.array_join("t", "|").alias("tables"), F.when(F.size("t") > 3, "cross_source").otherwise("join_query").alias("kind")).agg(F.sum("n").alias("n_queries"))
     return c.groupBy(F.array_join("t", "|").alias("tables"), F.when(F.size("t") > 3, "cross_source").otherwise("join_query").alias("kind")).agg(F.count(F.lit(1)).alias("n_queries"))
 
 
 def gaps(log: DataFrame, properties: DataFrame) -> DataFrame:
-    """(column_name, n_queries): columns tested for null that are names of properties."""
-    c = clean(log).select(F.explode(_all(GAP)).alias("column_name")).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_queries"))
+    """(column_name, n_queries): columns tested for null, or given a value instead, that are names of properties."""
+    c = clean(log).select(F.explode(F.array_union(_all(GAP), _all(GAP_CALL))).alias("column_name")).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_queries"))
     return c.join(properties.select(F.lower("name").alias("column_name")).distinct(), "column_name", "left_semi")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.functions.text import ngrams, trim
+from ontoloom.functions.text import ngrams, substrings, trim
 
 
 def resolve(refs: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -110,10 +110,7 @@ def describe(concepts: DataFrame, sets: DataFrame, properties: DataFrame, relati
 
 def mentions(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     """(question_id, name): the longest concept name in each question, ties to the least; substrings are joined on equality, not compared pairwise."""
-    q = F.lower("question")
-    longest = max(2, concepts.agg(F.max(F.length("name"))).first()[0] or 2)
-    subs = F.flatten(F.transform(F.sequence(F.lit(2), F.lit(longest)), lambda n: F.when(F.length(q) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(q) - n + 1, F.lit(1))), lambda i: F.substring(q, i, n))).otherwise(F.array().cast("array<string>"))))
-    rows = questions.where("question is not null").select("question_id", F.explode(F.array_distinct(subs)).alias("k"))
     names = concepts.select(F.lower("name").alias("k"), "name").where("length(name) >= 2").groupBy("k").agg(F.min("name").alias("name"))
+    rows = substrings(questions.select("question_id", "question"), "question", names)
     j = rows.join(names, "k")
     return j.groupBy("question_id").agg(F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.functions.text import trim
+from ontoloom.functions.text import substrings, trim
 
 #: Types of literals, risk of axioms, words of part-of relations.
 LITERALS = "int integer bigint smallint float double decimal string varchar text date datetime bool boolean".split()
@@ -82,12 +82,19 @@ def normalise(relations: DataFrame, synonyms: DataFrame) -> DataFrame:
     return g.agg(F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("al")))), "|").alias("aliases"), F.count(F.lit(1)).alias("n"))
 
 
-def vote(triples: DataFrame) -> DataFrame:
-    """(predicate, winner, share, status, n): majority class of each predicate; 0.95 auto, 0.80 review, else skip without winner; ties to the least class.  triples: predicate, cls; a null class votes unknown."""
+def inverses(relations: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(relation_id, inverse_id): of the relations whose standard name has an inverse (pairs: name, inverse), the least relation of that name; pairs hold both ways.  relations: relation_id, name."""
+    both = pairs.select("name", "inverse").unionByName(pairs.select(F.col("inverse").alias("name"), F.col("name").alias("inverse"))).distinct()
+    least = relations.groupBy(F.col("name").alias("inverse")).agg(F.min("relation_id").alias("inverse_id"))
+    return relations.select("relation_id", "name").join(both, "name").join(least, "inverse").select("relation_id", "inverse_id")
+
+
+def vote(triples: DataFrame, floor: float = 0.8) -> DataFrame:
+    """(predicate, winner, share, status, n): majority class of each predicate; 0.95 auto, 0.80 review, else skip, and no winner below floor; ties to the least class.  triples: predicate, cls; a null class votes unknown."""
     n = triples.groupBy("predicate", F.coalesce("cls", F.lit("unknown")).alias("cls")).agg(F.count(F.lit(1)).alias("n"))
     g = n.groupBy("predicate").agg(F.min_by("cls", F.struct(-F.col("n"), F.col("cls"))).alias("winner"), (F.max("n") / F.sum("n")).alias("share"), F.sum("n").alias("n"))
     status = F.when(F.col("share") >= 0.95, "auto").when(F.col("share") >= 0.8, "review").otherwise("skip")
-    return g.select("predicate", F.when(status != "skip", F.col("winner")).alias("winner"), F.round("share", 6).alias("share"), status.alias("status"), "n")
+    return g.select("predicate", F.when(F.col("share") >= floor, F.col("winner")).alias("winner"), F.round("share", 6).alias("share"), status.alias("status"), "n")
 
 
 def risk(kind: Column) -> Column:
@@ -111,12 +118,55 @@ def split_rule(rules: DataFrame) -> DataFrame:
 
 
 def bind(atoms: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(rule_id, pos, concept): the first concept by name whose name a condition contains.  The join is on the text's substrings."""
-    from ontoloom.operators.reason import mentions
+    """(rule_id, pos, concept): of the concepts whose name a condition contains, the first by name.  The join is on the text's substrings of the lengths that names have."""
+    names = concepts.select("name").where("length(name) >= 2").distinct().withColumn("k", F.lower("name"))
+    hits = substrings(atoms.where("kind != 'conclusion'").select("rule_id", "pos", "text"), "text", names)
+    return hits.join(names, "k").groupBy("rule_id", "pos").agg(F.min("name").alias("concept"))
+
+
+def generate_rules(parts: DataFrame, bound: DataFrame) -> DataFrame:
+    """(rule_id, part, atom_type, predicate, variables): atoms of rules in words (split_rule) with their bindings (bind): a bound comparison compares ?x and ?y, another bound condition is a class of ?x, and so is a conclusion that is worded as a bound condition is."""
+    c = parts.where("kind != 'conclusion'").join(bound, ["rule_id", "pos"])
+    x, xy = F.array(F.lit("?x")), F.array(F.lit("?x"), F.lit("?y"))
+    compares = F.col("kind") == "comparison"
+    body = c.select("rule_id", F.lit("body").alias("part"), F.when(compares, "builtin_atom").otherwise("class_atom").alias("atom_type"), F.when(compares, "greaterThan").otherwise(F.col("concept")).alias("predicate"), F.when(compares, xy).otherwise(x).alias("variables"))
+    ends = parts.where("kind = 'conclusion'").select("rule_id", "text").join(c.select("rule_id", "text", "concept"), ["rule_id", "text"])
+    head = ends.select("rule_id", F.lit("head").alias("part"), F.lit("class_atom").alias("atom_type"), F.col("concept").alias("predicate"), x.alias("variables"))
+    return body.unionByName(head).distinct()
+
+
+def validate_rules(atoms: DataFrame, rules: DataFrame, concepts: DataFrame, properties: DataFrame) -> DataFrame:
+    """(rule_id, problem): empty_body, empty_head, unbound: head variables that the body lacks, builtin: variables of comparisons that no class or property binds, unknown: predicates that are no concept or property.  atoms: rule_id, part, atom_type, predicate, variables; rules: rule_id; concepts and properties: name."""
+    pick = lambda cond: F.array_distinct(F.flatten(F.collect_list(F.when(cond, F.filter("variables", lambda v: v.startswith("?"))))))
+    in_body, builtin = F.col("part") == "body", F.col("atom_type") == "builtin_atom"
+    g = atoms.groupBy("rule_id").agg(pick(~in_body).alias("h"), pick(in_body).alias("b"), pick(in_body & builtin).alias("bi"), pick(in_body & ~builtin).alias("cl"), F.count_if(in_body).alias("nb"), F.count_if(~in_body).alias("nh"))
+    known = concepts.select(F.lit("class_atom").alias("atom_type"), F.col("name").alias("predicate")).unionByName(properties.select(F.lit("property_atom").alias("atom_type"), F.col("name").alias("predicate"))).distinct()
+    strange = atoms.where("atom_type != 'builtin_atom' and predicate not in ('Thing', 'Nothing')").join(known, ["atom_type", "predicate"], "left_anti").select("rule_id", F.concat(F.lit("unknown:"), "predicate").alias("problem")).distinct()
+    names = lambda label, c: F.when(F.size(c) > 0, F.concat(F.lit(label), F.array_join(F.array_sort(c), ",")))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    problems = F.array_compact(F.array(F.when(n("nb") == 0, F.lit("empty_body")), F.when(n("nh") == 0, F.lit("empty_head")), names("unbound:", F.array_except("h", "b")), names("builtin:", F.array_except("bi", "cl"))))
+    return rules.select("rule_id").distinct().join(g, "rule_id", "left").select("rule_id", F.explode(problems).alias("problem")).unionByName(strange)
+
+
+def domain_conflicts(declared: DataFrame, relations: DataFrame) -> DataFrame:
+    """(relation_id, predicate, declared, actual): relations whose domain isn't that of their name's domain axiom; warnings only.  declared: predicate, cls; relations: relation_id, name, cls."""
+    d = declared.select("predicate", F.col("cls").alias("declared")).where("declared is not null")
+    return relations.select("relation_id", F.col("name").alias("predicate"), F.col("cls").alias("actual")).join(d, "predicate").where("declared != actual").select("relation_id", "predicate", "declared", "actual")
+
+
+def structure_check(refs: dict[str, DataFrame], ids: DataFrame, known: dict[str, DataFrame], edges: DataFrame) -> DataFrame:
+    """(check, n) of the checks that fail: references (row, ref) to ids that aren't there, by kind of reference (known gives other ids than the concepts'), and nodes on cycles of edges (child, parent; one parent each)."""
+    from ontoloom.operators import hierarchy
 
-    q = atoms.where("kind != 'conclusion'").select(F.struct("rule_id", "pos").alias("question_id"), F.col("text").alias("question"))
-    m = mentions(q, concepts)
-    return m.select("question_id.rule_id", "question_id.pos", F.col("name").alias("concept"))
+    out = None
+    for name, df in refs.items():
+        lost = df.where("ref is not null and ref != ''").select("row", "ref").distinct().join(known.get(name, ids).select(F.col("id").alias("ref")).where("ref is not null").distinct(), "ref", "left_anti")
+        part = lost.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+        out = part if out is None else out.unionByName(part)
+    there = edges.select(F.col("child").alias("parent")).distinct().withColumn("there", F.lit(True))
+    l = edges.join(there, "parent", "left").select(F.col("child").alias("id"), F.when(F.col("there"), F.col("parent")).alias("parent"))
+    rings = hierarchy.cycles(hierarchy.climb(l)[1])[0].agg(F.count(F.lit(1)).alias("n")).select(F.lit("taxonomy.cycle").alias("check"), "n")
+    return (rings if out is None else out.unionByName(rings)).where("n > 0")
 
 
 def check_rules(atoms: DataFrame) -> DataFrame:

@@ -35,6 +35,23 @@ def load(spark: SparkSession, ddl_path: str, docs: str, queries: str, config: st
     return t
 
 
+def identity(columns: DataFrame) -> DataFrame:
+    """(table_name, identity_spec): primary key columns in order of name, joined with ' + '."""
+    return columns.where("is_primary_key").groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_list("column_name")), " + ").alias("identity_spec"))
+
+
+def column_properties(columns: DataFrame, fks: DataFrame, c: DataFrame) -> DataFrame:
+    """Properties of the columns that are no keys; c: id, table_name of the concepts."""
+    plain = columns.join(fks.select("table_name", F.col("fk_column").alias("column_name")), ["table_name", "column_name"], "left_anti").where("not is_primary_key")
+    return plain.join(c, "table_name").select(det_id("prop", F.col("table_name"), F.col("column_name")).alias("id"), F.col("column_name").alias("name"), F.col("id").alias("domain_concept_id"), F.col("comment").alias("name_cn"), so.value_type(F.col("sql_type")).alias("value_type"), "sql_type", F.concat_ws(".", "table_name", "column_name").alias("source_ref"), F.lit(0.9).alias("confidence"))
+
+
+def junction_relations(columns: DataFrame, fks: DataFrame, c: DataFrame) -> DataFrame:
+    """An N:M relation between the ends of each junction table; c: id, table_name of the concepts."""
+    j = so.junctions(columns, fks).join(c.select(F.col("id").alias("domain"), F.col("table_name").alias("a")), "a").join(c.select(F.col("id").alias("range"), F.col("table_name").alias("b")), "b")
+    return j.select(det_id("rel", F.col("table_name")).alias("relation_id"), F.col("table_name").alias("name"), "domain", "range", F.lit("N:M").alias("cardinality"), F.lit(0.8).alias("confidence"), F.array().cast("array<string>").alias("aliases"))
+
+
 def table_concepts(parsed: DataFrame) -> DataFrame:
     """Concepts of tables that are no system tables, named by their comments; foreign keys' targets without a table of their own too."""
     label = F.regexp_replace(trim("comment"), "信息表|表|记录", "")
@@ -50,7 +67,7 @@ def extract_concepts(t: Tables) -> Tables:
     every = rdb.unionByName(text)
     one = every.groupBy(F.lower(trim("name")).alias("k")).agg(F.max_by(F.struct(*every.columns), F.struct("confidence", "id")).alias("v")).select("v.*")
     one = one.withColumn("layer", con.layer(F.col("name"), F.col("name_en"), F.col("source"), F.col("source_ref").startswith("table:")))
-    key = t["columns"].where("is_primary_key").groupBy("table_name").agg(F.array_join(F.array_sort(F.collect_list("column_name")), " + ").alias("identity_spec"))
+    key = identity(t["columns"])
     return t | {"concepts": cut(one.join(key, one.name_en == key.table_name, "left").drop("table_name"))}
 
 
@@ -67,15 +84,13 @@ def build_taxonomy(t: Tables) -> Tables:
 def build_relations(t: Tables) -> Tables:
     """Stage 4: properties of columns, relations of foreign keys and junction tables, N:M ones reified, names normalised, limits of types."""
     c = t["concepts"].where("name_en is not null").select("id", F.col("name_en").alias("table_name"))
-    plain = t["columns"].join(t["fks"].select("table_name", F.col("fk_column").alias("column_name")), ["table_name", "column_name"], "left_anti").where("not is_primary_key")
-    props = plain.join(c, "table_name").select(det_id("prop", F.col("table_name"), F.col("column_name")).alias("id"), F.col("column_name").alias("name"), F.col("id").alias("domain_concept_id"), F.col("comment").alias("name_cn"), so.value_type(F.col("sql_type")).alias("value_type"), F.concat_ws(".", "table_name", "column_name").alias("source_ref"), *so.type_limits(F.col("sql_type")))
+    props = column_properties(t["columns"], t["fks"], c).select("id", "name", "domain_concept_id", "name_cn", "value_type", "source_ref", *so.type_limits(F.col("sql_type")))
     used = t["log"].select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("sql"), F.lit("([a-z_]+)"), F.lit(1)))).alias("column_name")).distinct()
     fk = t["fks"].select(F.concat_ws(".", "table_name", "fk_column").alias("fk_id"), "table_name", F.col("fk_column").alias("column_name"), F.col("ref_table").alias("term"), "ref_table")
     judged = so.fk_filter(fk, used, t["terms"], profile.is_system_fk(F.col("table_name"))).where("status != 'rejected'")
     ends = fk.join(judged, "fk_id").join(c.select(F.col("id").alias("domain"), "table_name"), "table_name").join(c.select(F.col("id").alias("range"), F.col("table_name").alias("ref_table")), "ref_table")
     rels = ends.select(det_id("rel", F.col("fk_id")).alias("relation_id"), so.relation_name(F.col("ref_table")).alias("name"), "domain", "range", F.lit("1:N").alias("cardinality"), "confidence", F.array().cast("array<string>").alias("aliases"))
-    j = so.junctions(t["columns"], t["fks"]).join(c.select(F.col("id").alias("domain"), F.col("table_name").alias("a")), "a").join(c.select(F.col("id").alias("range"), F.col("table_name").alias("b")), "b")
-    nm = j.select(det_id("rel", F.col("table_name")).alias("relation_id"), F.col("table_name").alias("name"), "domain", "range", F.lit("N:M").alias("cardinality"), F.lit(0.8).alias("confidence"), F.array().cast("array<string>").alias("aliases"))
+    nm = junction_relations(t["columns"], t["fks"], c)
     every = rels.unionByName(nm)
     return t | {"properties": props, "relations": every, "reified": so.reify(every, t["concepts"].select("id", "name")), "normalised": so.normalise(every, t["relation_synonyms"])}
 

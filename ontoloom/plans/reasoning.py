@@ -10,6 +10,7 @@ from ontoloom.operators import concepts as con
 from ontoloom.operators import context, enrich, graph, hierarchy, mining, reason
 from ontoloom.operators import schema_ops as so
 from ontoloom.plans.records import _P6, _id
+from ontoloom.plans.texts import _PHRASES
 from ontoloom.session import cut, table
 
 
@@ -124,13 +125,6 @@ def multiple_parents(s, d):
     return graph.multiple_parents(n, _sets(s, d).select(F.col("concept_id").alias("id"), F.col("root_id").alias("root")))
 
 
-def cycle_removed(s, d):
-    """Edges taken out to make the latest taxonomy acyclic."""
-    n = table(s, d, "taxonomy_node").withColumn("child", norm_id("concept_id"))
-    e = n.where("child is not null").groupBy("child").agg(F.max_by(F.struct(norm_id("parent_id").alias("parent"), "confidence"), F.struct("updated_at", norm_id("parent_id"), "confidence")).alias("v")).select("child", "v.parent", "v.confidence")
-    return graph.remove_cycles(e)[1]
-
-
 def cf_remove_subclass(s, d):
     l = hierarchy.links(table(s, d, "taxonomy_node")).where("parent is not null").select(F.col("id").alias("child"), "parent")
     return reason.remove_subclass(l, _sets(s, d))
@@ -323,12 +317,6 @@ def swrl_parse(s, d):
     return so.split_rule(s.createDataFrame(RULES, "rule_id bigint, text string")).withColumn("pos", F.col("pos").cast("bigint"))
 
 
-def swrl_bind(s, d):
-    """Conditions of the sample rules bound to the ontology's concepts and business terms."""
-    names = s.createDataFrame([("客户",), ("订单",), ("商品",), ("类目",), ("库存",)], "name string")
-    return so.bind(swrl_parse(s, d), names)
-
-
 _ATOMS = f"with a as (select * from {_values(ATOMS)} v(rule_id, part, predicate, variables))"
 _RULECHECK = _ATOMS + """, g as (select rule_id, list_distinct(flatten(list(case when part = 'head' then variables else [] end))) h, list_distinct(flatten(list(case when part = 'body' then variables else [] end))) b, count(*) filter (where part = 'head') nh, count(*) filter (where part = 'body') nb from a group by 1)
 select rule_id, p as problem from (select rule_id, unnest([case when nh = 0 then 'empty_head' end, case when nb = 0 then 'empty_body' end, case when nb > 0 and len(list_filter(h, lambda x: not list_contains(b, x))) > 0 then 'unbound:' || array_to_string(list_sort(list_filter(h, lambda x: not list_contains(b, x))), ',') end]) p from g) where p is not null"""
@@ -376,6 +364,16 @@ def inbox(s, d):
     return enrich.inbox(s.createDataFrame(MESSAGES, "pos bigint, sender string, recipient string, text string"), "curator")
 
 
+#: Configured terms of other vocabularies.
+MAPPINGS = [("承运商", "schema:Organization"), ("订单", "schema:Order"), ("标签", "schema:DefinedTerm"), ("优惠券", "schema:Coupon"), ("无此词", "schema:Thing")]
+
+
+def ext_mapping(s, d):
+    """Configured terms mapped to the least concept that has them as an alias."""
+    terms = concepts(s, d).select(F.explode("aliases").alias("term"), "id").groupBy("term").agg(F.min("id").alias("id"))
+    return enrich.external_mapping(s.createDataFrame(MAPPINGS, "term string, uri string"), terms)
+
+
 def relevance_topk(s, d):
     """Search: the questions whose number is divisible by 100, against all concepts."""
     q = table(s, d, "qa_dataset").where("cast(substring(id, 2) as bigint) % 100 = 0").groupBy(F.col("id").alias("question_id")).agg(F.max("question").alias("question"))
@@ -433,14 +431,12 @@ QUERIES = {
     "infer_axioms": infer_axioms,
     "axiom_risk": axiom_risk,
     "multiple_parents": multiple_parents,
-    "cycle_removed": cycle_removed,
     "consistency_disjoint": disjoint,
     "consistency_rule_vars": lambda s, d: so.check_rules(_atoms(s)),
     "consistency_rule_cycles": lambda s, d: so.rule_cycles(_atoms(s)),
     "referential_integrity": referential_integrity,
     "build_stats": build_stats,
     "swrl_parse": swrl_parse,
-    "swrl_bind": swrl_bind,
     "prop_vs_rel": lambda s, d: s.createDataFrame(DECISIONS, "t string, a boolean, r boolean, dialect string, f boolean").select("t", "a", "r", "dialect", "f", so.property_or_relation(F.col("t"), F.col("a"), F.col("r"), F.col("dialect"), F.col("f")).alias("decision")),
     "valid_types": lambda s, d: s.createDataFrame([(t,) for t in TYPES], "sql_type string").select("sql_type", so.value_type(F.col("sql_type")).alias("value_type"), *so.type_limits(F.col("sql_type"))),
     "fk_filter": fk_filter,
@@ -458,10 +454,10 @@ QUERIES = {
     "merge_components": lambda s, d: con.merge_similar(concepts(s, d)),
     "embedding_neighbors": embedding_neighbors,
     "hash_embed": lambda s, d: con.hash_embed(concepts(s, d).select("id", F.col("name").alias("text"))),
-    "substring_hierarchy": lambda s, d: con.substring_hierarchy(concepts(s, d).select("name", "instance_count")),
+    "substring_hierarchy": lambda s, d: con.substring_hierarchy(mining.concepts(mining.phrases(table(s, d, "documents").select("doc_id", "text")))),
     "reltype_pairs": reltype_pairs,
     "glossary": lambda s, d: enrich.glossary(s.createDataFrame(SYNONYMS, "alias string, standard string"), concepts(s, d)),
-    "ext_mapping": lambda s, d: enrich.external_mapping(s.createDataFrame([("客户", "schema:Person"), ("订单", "schema:Order"), ("无此词", "schema:Thing")], "term string, uri string"), s.createDataFrame([("客户", "term_1"), ("订单", "term_2")], "term string, id string")),
+    "ext_mapping": ext_mapping,
     "annotations": lambda s, d: enrich.annotations(table(s, d, "onto_property")),
     "governance": lambda s, d: enrich.governance(table(s, d, "onto_concept"), table(s, d, "onto_property"), table(s, d, "onto_relation")),
     "changelog_summary": lambda s, d: enrich.change_summary(table(s, d, "change_log")),
@@ -478,7 +474,7 @@ ORACLE = {
     "relevant_slice": _SLICE + " select * from slice",
     "context_text": _SLICE + ", lines as (select question_id, 1 o, 'concept: ' || name line from slice join con using (id) union select question_id, 2, slice.id || ' is a ' || l.parent from slice join l using (id) where l.parent is not null union select question_id, 3, rel.domain || ' ' || rel.name || ' ' || coalesce(rel.range, '?') from slice join rel on rel.domain = slice.id) select question_id, string_agg(line, chr(10) order by o, line) as context from lines where line is not null group by 1",
     "perm_subjects": f"with c as (select * from {_values(SUBJECTS)} v(name, parent)), f as (select doc_id, unnest(regexp_extract_all(text, '{_ROLE_SQL}', 1)) name from documents where text is not null) select name, 'config' as origin, case when parent in (select name from c) then parent end as parent, 0 as n_docs from c union all select name, 'text', null, count(distinct doc_id) from f where length(name) between 2 and 10 and name not in (select name from c) group by 1",
-    "triggers_swrl": "select 1 as rule_id, 'time_based' as event_type, 'Order(o) AND swrlb:greaterThan(payTime, limit)' as condition_expression, 'Cancelled(o)' as action_detail",
+    "triggers_swrl": f"with a as (select *, predicate || '(' || array_to_string(vars, ', ') || ')' x from {_values(TIMED)} v(rule_id, part, predicate, vars)) select rule_id, 'time_based' as event_type, array_to_string(list_sort(list(x) filter (where part = 'body')), ' AND ') as condition_expression, array_to_string(list_sort(list(x) filter (where part = 'head')), ' AND ') as action_detail from a group by rule_id having bool_or(part = 'body' and predicate in ('swrlb:greaterThan', 'swrlb:lessThan') and len(list_filter(vars, lambda v: regexp_matches(lower(v), 'time|date'))) > 0)",
     "closure_geo": _GEO + "select child, ancestor, min(distance) as distance from c group by 1, 2",
     "inherited_relations_geo": _GEO + "select c.child, count(*) as n_relations, min(distance) as nearest from c join (select 'r' || r_regionkey a from region union all select 'n' || n_nationkey from nation) r on r.a = c.ancestor where c.child like 'c%' group by 1",
     "closure_taxonomy": _ALL + "select id as descendant, anc as ancestor, dist as distance from up where dist > 0",
@@ -528,10 +524,10 @@ select relation_id, domain_ok, range_ok, case when domain_ok and range_ok then 1
     "merge_alias_map": _MERGED,
     "embedding_neighbors": _NEAR,
     "hash_embed": f"with {_CON}, " + _HASH[5:],
-    "substring_hierarchy": _BASE + ", n as (select name, max(instance_count) n from con where name is not null and instance_count > 0 group by 1) select c.name as child, p.name as parent, .6 as confidence from n c join n p on contains(c.name, p.name) and c.name <> p.name and c.n < p.n where p.name <> ''",
+    "substring_hierarchy": f"with n as (select term as name, sum(n)::bigint n from ({_PHRASES}) group by term) select c.name as child, p.name as parent, .6 as confidence from n c join n p on contains(c.name, p.name) and c.name <> p.name and c.n < p.n where p.name <> ''",
     "reltype_pairs": _ALL + f"select l.id, l.parent, case when contains(a.name, b.name) or contains(b.name, a.name) then 'is-a' when regexp_matches(replace(b.description, chr(1), ''), '{so.PART_OF}') then 'part-of' else 'related-to' end as kind from l join con a on a.id = l.id join con b on b.id = l.parent",
     "glossary": _BASE + f", y as (select * from {_values(SYNONYMS)} v(alias, standard)), g as (select standard term, 'config' origin, array_to_string(list_sort(list_distinct(list(alias))), '|') synonyms from y group by 1) select * from g union all select distinct regexp_replace(name, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') t, 'concept', '' from con where t <> '' and t not in (select term from g)",
-    "ext_mapping": "select * from (values ('客户', 'schema:Person', 'term_1'), ('订单', 'schema:Order', 'term_2'), ('无此词', 'schema:Thing', '无此词')) v(term, uri, target)",
+    "ext_mapping": _BASE + f", m as (select * from {_values(MAPPINGS)} v(term, uri)), k as (select a, min(id) id from (select id, unnest(aliases) a from con) group by 1) select term, uri, coalesce(k.id, term) as target from m left join k on k.a = m.term",
     "annotations": "select string_split(source_ref, '.')[1] as table_name, string_split(source_ref, '.')[-1] as column_name, min(name_cn) as annotation from onto_property where source_ref like '%.%' and name_cn is not null and trim(name_cn) <> '' group by 1, 2",
     "governance": f"with c as (select {_id('id')} id, max((regexp_replace(coalesce(description, ''), '[\\s\\p{{Z}}]', '', 'g') <> '')::int) d from onto_concept where {_id('id')} is not null group by 1), r as (select {_id('domain_concept_id')} id from onto_relation union select {_id('range_concept_id')} from onto_relation), n as (select count(*) n, sum(1 - d) a, count(*) filter (where id not in (select id from {_OWN} where id is not null)) b, count(*) filter (where id not in (select id from r where id is not null)) e from c) select 'description' as rule, n as n_checked, a::bigint as n_broken from n union all select 'property', n, b from n union all select 'orphan', n, e from n union all select 'relation_description', count(*), count(*) filter (where coalesce(trim(w), '') = '') from (select id, max(name_cn) w from onto_relation group by 1)",
     "changelog_summary": f"with e as (select distinct lower(trim(op)) op, lower(trim(target)) as target, {_id('ref')} ref, changed_at from change_log) select op, target, count(*) as n from e group by 1, 2",

@@ -103,7 +103,7 @@ ORACLE = {
     "frequent_lookups": _CRUD + " select table_name, n_queries from crud where verb = 'select' and n_queries >= 2",
     "agg_patterns": _AGG + " select * from agg",
     "join_patterns": f"{_CLEAN}, t as (select list_sort(list_distinct(regexp_extract_all(q, '{_TAB}', 1))) t from l) select array_to_string(t, '|') as tables, case when len(t) > 3 then 'cross_source' else 'join_query' end as kind, count(*) as n_queries from t where len(t) >= 2 group by 1, 2",
-    "data_gaps": f"{_CLEAN}, c as (select unnest(list_distinct(regexp_extract_all(q, '{_p(querylog.GAP)}', 1))) column_name from l) select column_name, count(*) as n_queries from c where column_name in (select lower(name) from onto_property) group by 1",
+    "data_gaps": f"{_CLEAN}, c as (select unnest(list_distinct(list_concat(regexp_extract_all(q, '{_p(querylog.GAP)}', 1), regexp_extract_all(q, '{_p(querylog.GAP_CALL)}', 1)))) column_name from l) select column_name, count(*) as n_queries from c where column_name in (select lower(name) from onto_property) group by 1",
     "index_suggest": f"{_CLEAN}, c as (select regexp_extract(q, '{_p(querylog.FIRST_COLUMN)}', 1) column_name from l union all select regexp_extract(q, '{_p(querylog.ORDER_COLUMN)}', 1) from l) select column_name, count(*) as n_queries from c where column_name <> '' group by 1 having count(*) >= 2 order by 2 desc, 1 limit 10",
     "derive_sql": _AGG + ", b as (select column_name, \"function\" f, sum(n_queries) n from agg where column_name in (select lower(name) from onto_property) group by 1, 2) select column_name as property_name, upper(arg_min(f, (-n, f))) || '(' || column_name || ')' as formula from b group by column_name",
 }

@@ -65,7 +65,7 @@ _PHRASES = f"""with r as (select doc_id, unnest(regexp_extract_all(text, '([一-
 c as (select doc_id, term, count(*) n from r where term not in ({_GENERIC}) and not regexp_matches(term, '[{mining.STOP_CHARS}]') group by all),
 k as (select *, row_number() over (partition by doc_id order by n desc, term) rk, count(*) over (partition by doc_id) dt from c)
 select doc_id, term, n, round(least(0.4 + 0.1 * n, 0.8), 6) as confidence from k where rk <= 50 and (n >= 2 or dt <= 20)"""
-_HEARST = "select child, parent, max(confidence) as confidence, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, g1 child, g2 parent, {c}::double confidence from {_finds_sql(p, a, b)}" for p, a, b, c, _ in mining.HEARST.values()) + ") where length(child) >= 2 and length(parent) >= 2 and child <> parent group by child, parent"
+_HEARST = "select child, parent, max(confidence) as confidence, count(distinct doc_id) as n_docs from (" + " union all ".join(f"select doc_id, g1 child, g2 parent, {c}::double confidence from {_finds_sql(p, a, b)}" for p, a, b, c, _ in mining.HEARST.values()) + ") where length(child) >= 2 and length(parent) >= 2 and child <> parent and parent not like 'kind of %' group by child, parent"
 _TRIGGERS = f"""select name, event_type, event_detail, condition_expression, action_detail, count(distinct doc_id) as n_docs from (
  select doc_id, '超时' || g3 name, 'time_based' event_type, '超过' || g1 event_detail, '未' || g2 condition_expression, g3 action_detail from {_finds_sql(mining.TIMEOUT, 1, 2, 3)}
  union all select doc_id, g1 || '后' || g2, 'status_transition', g1 || '完成', g1 || '成功', g2 from {_finds_sql(mining.POST_ACTION, 1, 2)}) group by all"""
@@ -76,7 +76,7 @@ _PERM = f"""with f as (select g1 subject, g2 action, 'deny' effect from {_finds_
 a as (select *, list_filter([case when regexp_matches(action, '查看|查询|浏览|查') then 'read' end, case when regexp_matches(action, '修改|更新|编辑|改') then 'write' end, case when regexp_matches(action, '删除|移除') then 'delete' end], lambda x: x is not null) v from f where subject in ('管理员', '客服人员', '普通客户', '企业客户', '仓库主管', '财务人员', '代理商', 'VIP客户'))
 select subject, effect, action, case when len(v) = 0 then 'execute' else array_to_string(v, '|') end as actions, count(*) as n from a group by all"""
 _DERIV = f"select g1 as target, g2 as formula, count(distinct doc_id) as n_docs from {_finds_sql(mining.DERIVATION, 1, 2)} group by all"
-_LIMITS = f"select subject, kind, bound, count(distinct doc_id) as n_docs from (select doc_id, g1 subject, 'digits' kind, try_cast(g2 as bigint) bound from {_finds_sql(mining.LIMIT_DIGITS, 1, 2)} union all select doc_id, g1, 'max_length', try_cast(g2 as bigint) from {_finds_sql(mining.LIMIT_LENGTH, 1, 2)}) group by all"
+_LIMITS = f"select subject, kind, bound, count(distinct doc_id) as n_docs from (select doc_id, g1 subject, 'digits' kind, try_cast(g2 as double) bound from {_finds_sql(mining.LIMIT_DIGITS, 1, 2)} union all select doc_id, g1, 'max_length', try_cast(g2 as double) from {_finds_sql(mining.LIMIT_LENGTH, 1, 2)} union all select doc_id, g1, 'min_value', try_cast(g2 as double) from {_finds_sql(mining.LIMIT_LEAST, 1, 2)}) group by all"
 
 #: Subjects of the sample permissions.
 SUBJECTS = ["管理员", "客服人员", "普通客户", "企业客户", "仓库主管", "财务人员", "代理商", "VIP客户"]
@@ -141,7 +141,7 @@ QUERIES = {
     "perm_rules": permissions,
     "derive_text": lambda s, d: mining.derivations(docs(s, d)),
     "valid_text": lambda s, d: mining.limits(docs(s, d)),
-    "exceptions": lambda s, d: mining.triggers(docs(s, d)).where("event_type = 'time_based' and action_detail like '%取消%'"),
+    "exceptions": lambda s, d: mining.exceptions(mining.triggers(docs(s, d)), ("取消", "关闭")),
     "answer_score": answer_scores,
     "eval_summary": eval_summary,
     "eval_best": eval_best,
@@ -163,7 +163,7 @@ ORACLE = {
     "perm_rules": _PERM,
     "derive_text": _DERIV,
     "valid_text": _LIMITS,
-    "exceptions": f"select * from ({_TRIGGERS}) where event_type = 'time_based' and action_detail like '%取消%'",
+    "exceptions": f"select * from ({_TRIGGERS}) where event_type = 'time_based' and (action_detail like '%取消%' or action_detail like '%关闭%')",
     "answer_score": _SCORES + "select result_id, condition_name, accuracy, completeness, hallucination from s",
     "eval_summary": _SCORES + "select condition_name, count(*) as n, round(avg(accuracy), 4) as accuracy, round(avg(completeness), 4) as completeness, round(avg(hallucination), 4) as hallucination from s group by 1",
     "eval_best": _SCORES + ", c as (select category, condition_name, round(avg(accuracy), 4) accuracy from s join (select id, max(category) category from qa_dataset group by id) q on q.id = category_key group by 1, 2) select category, max(accuracy) as best_accuracy, arg_min(condition_name, (-accuracy, condition_name)) as best_condition from c group by category",

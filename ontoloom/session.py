@@ -48,7 +48,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 _homes: set[str] = set()
 
 
-def _home(spark: SparkSession) -> str:
+def app_folder(spark: SparkSession) -> str:
     """The application's own folder below the checkpoint folder; the file system deletes it when the application ends."""
     home = f"{ensure_checkpoint_dir(spark)}/ontoloom-{spark.sparkContext.applicationId}"
     if home not in _homes:
@@ -66,7 +66,7 @@ def cut(df: DataFrame) -> DataFrame:
     A table is written rather than a checkpoint made because a checkpoint carries the plan's size estimate on, which a
     join multiplies: over the rounds of a doubling loop the estimate's digits double each time and planning stops."""
     spark = df.sparkSession
-    path = f"{_home(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{app_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

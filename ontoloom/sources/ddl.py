@@ -94,8 +94,9 @@ def parse(sql: str) -> list[dict]:
         if i >= len(t) or t[i] != ("o", "("):
             continue
         end = _close(t, i)
-        if end < 0:
-            return out
+        if end < 0:  # breaks off: the next statement, if any, is read
+            i += 1
+            continue
         columns, keys, fks = [], set(), []
         for part in _split(t[i + 1 : end]):
             at = next((k for k in range(len(part)) if _is(part[k], "PRIMARY", "FOREIGN", "UNIQUE", "KEY", "INDEX", "CHECK", "CONSTRAINT")), None)
@@ -153,6 +154,21 @@ def foreign_keys(parsed: DataFrame) -> DataFrame:
     return parsed.select("source", "table_name", F.explode("foreign_keys").alias("f")).select("source", "table_name", "f.fk_column", "f.ref_table", "f.ref_column")
 
 
+def statements(tables: DataFrame, columns: DataFrame, fks: DataFrame) -> DataFrame:
+    """(table_name, statement): CREATE TABLE of tables (table_name, comment), columns (table_name, o, column_name, sql_type, comment, is_primary_key; in order of o and name) and fks (table_name, fk_column, ref_table), which refer to `id`."""
+    quoted = lambda c: F.concat(F.lit("'"), F.regexp_replace(F.regexp_replace(c, r"\\\\", ""), "'", "''"), F.lit("'"))
+    name = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    line = F.concat(name(F.col("column_name")), F.lit(" "), F.col("sql_type"), F.when(F.col("comment") != "", F.concat(F.lit(" COMMENT "), quoted(F.col("comment")))).otherwise(""))
+    c = columns.groupBy("table_name").agg(F.sort_array(F.collect_list(F.struct("o", "column_name", line.alias("line")))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("is_primary_key"), name(F.col("column_name"))))).alias("pk"))
+    key = F.concat(F.lit("FOREIGN KEY ("), name(F.col("fk_column")), F.lit(") REFERENCES "), name(F.col("ref_table")), F.lit(" (`id`)"))
+    k = fks.groupBy("table_name").agg(F.array_sort(F.collect_list(key)).alias("k"))
+    j = tables.join(c, "table_name", "left").join(k, "table_name", "left")
+    empty = F.array().cast("array<string>")
+    pk = F.when(F.size("pk") > 0, F.array(F.concat(F.lit("PRIMARY KEY ("), F.array_join("pk", ", "), F.lit(")")))).otherwise(empty)
+    body = F.array_join(F.concat(F.transform("c", lambda x: x["line"]), F.coalesce(pk, empty), F.coalesce("k", empty)), ",\n  ")
+    return j.select("table_name", F.concat(F.lit("CREATE TABLE "), name(F.col("table_name")), F.lit(" (\n  "), body, F.lit("\n)"), F.when(F.coalesce("comment", F.lit("")) != "", F.concat(F.lit(" COMMENT="), quoted(F.col("comment")))).otherwise(""), F.lit(";")).alias("statement"))
+
+
 def scan(spark: SparkSession, path: str) -> DataFrame:
     """All DDL files under path."""
     return tables(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")))

@@ -99,6 +99,19 @@ def load_ontology(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {k: spark.read.parquet(f"{path}/{k}") for k in KINDS if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{k}"))}
 
 
+def load_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """All kinds found under a path written by export_json."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    at = lambda k: spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{k}")
+    fs = at("").getFileSystem(conf)
+    return {k: spark.read.json(f"{path}/{k}") for k in KINDS if fs.exists(at(k))}
+
+
+def save_report(report: DataFrame, path: str) -> None:
+    """A report as JSON lines in one file; a report has a row per check, stage or table."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
 def export_json(tables: dict[str, DataFrame], path: str) -> None:
     """Each kind as JSON lines, written by the executors."""
     for k, df in tables.items():

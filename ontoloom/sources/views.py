@@ -1,6 +1,6 @@
 """Markdown and Mermaid renderings of small result tables, and the JSON Schema of an ontology document.
 
-A rendering is text for people: it is made of at most `most` rows, the first by name, and says how many there were."""
+A rendering is text for people: it is made of at most `most` rows, the first by name, and says if there were more."""
 
 from __future__ import annotations
 
@@ -20,12 +20,18 @@ def markdown(df: DataFrame, most: int = 200) -> str:
 
 
 def _mermaid(head: str, df: DataFrame, line, most: int) -> str:
-    return "\n".join([head, *df.select(line.alias("x")).distinct().orderBy("x").limit(most).toPandas().x])
+    lines = df.select(line.alias("x")).distinct().orderBy("x").limit(most + 1).toPandas().x
+    return "\n".join([head, *lines[:most], *(["  %% more than shown"] if len(lines) > most else [])])
+
+
+def class_lines(edges: DataFrame) -> DataFrame:
+    """(line): all lines of the class diagram of edges (child, parent), for diagrams of any size that are written as text."""
+    return edges.select(F.format_string("  `%s` <|-- `%s`", "parent", "child").alias("line")).distinct()
 
 
 def class_diagram(edges: DataFrame, most: int = 200) -> str:
     """edges: child, parent."""
-    return _mermaid("classDiagram", edges, F.format_string("  `%s` <|-- `%s`", "parent", "child"), most)
+    return _mermaid("classDiagram", class_lines(edges), F.col("line"), most)
 
 
 def flow_graph(relations: DataFrame, most: int = 200) -> str:
@@ -46,7 +52,7 @@ def json_schema() -> dict:
 
 
 def schema_violations(df: DataFrame, kind: str) -> DataFrame:
-    """(kind, field, n): required fields that are missing or null, and value types outside the list."""
+    """(kind, field, n): per check how many rows break it: required fields missing or null, value types outside the list."""
     checks = [(c, F.col(c).isNull() if c in df.columns else F.lit(True)) for c in REQUIRED.get(kind, [])]
     if "value_type" in df.columns:
         checks.append(("value_type:enum", ~F.col("value_type").isin(VALUE_TYPES)))
@@ -54,4 +60,4 @@ def schema_violations(df: DataFrame, kind: str) -> DataFrame:
         return df.sparkSession.createDataFrame([], "kind string, field string, n bigint")
     one = df.agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(str(i)) for i, (_, c) in enumerate(checks)])
     rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("field"), F.col(str(i)).alias("n")) for i, (f, _) in enumerate(checks)])
-    return one.select(F.explode(rows).alias("x")).select("x.*").where("n > 0")
+    return one.select(F.explode(rows).alias("x")).select("x.*")

@@ -62,7 +62,7 @@ def test_views(spark):
     assert "A -->|has| B" in views.flow_graph(r) and "B }o--o{ C : in" in views.er_diagram(r) and "2 rows" in views.markdown(r)
     assert "`P` <|-- `C`" in views.class_diagram(spark.createDataFrame([("C", "P")], "child string, parent string"))
     bad = spark.createDataFrame([("p", None, "int"), ("q", "n", "point")], "id string, name string, value_type string")
-    assert {(x.field, x.n) for x in views.schema_violations(bad, "properties").collect()} == {("name", 1), ("value_type:enum", 1)}
+    assert {(x.field, x.n) for x in views.schema_violations(bad, "properties").where("n > 0").collect()} == {("name", 1), ("value_type:enum", 1)}
     assert "concepts" in views.json_schema()["required"]
 
 
