@@ -40,11 +40,11 @@ def surroundings(relevant: DataFrame, closure: DataFrame, below: int = 5, most:
     return one.withColumn("r", F.row_number().over(r)).where(F.col("r") <= most).drop("r")
 
 
-def as_text(slices: DataFrame, concepts: DataFrame, edges: DataFrame, relations: DataFrame) -> DataFrame:
-    """(question_id, context): concepts, is-a links and relations of a slice as lines in a fixed order; a slice has at most some dozen concepts, so its text is short."""
-    ids = slices.select("question_id", "id")
-    c = ids.join(concepts.select("id", F.concat(F.lit("concept: "), "name").alias("line")), "id").select("question_id", F.lit(1).alias("o"), "line")
-    e = ids.join(edges.where("parent is not null").select("id", F.concat("id", F.lit(" is a "), "parent").alias("line")), "id").select("question_id", F.lit(2).alias("o"), "line")
-    r = ids.join(relations.where("domain is not null").select(F.col("domain").alias("id"), F.concat("domain", F.lit(" "), "name", F.lit(" "), F.coalesce("range", F.lit("?"))).alias("line")).distinct(), "id").select("question_id", F.lit(3).alias("o"), "line")
-    lines = c.unionByName(e).unionByName(r).groupBy("question_id").agg(F.array_sort(F.collect_set(F.struct("o", "line"))).alias("l"))
-    return lines.select("question_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"))
+def as_text(slices: DataFrame, sections: list[DataFrame]) -> DataFrame:
+    """(question_id, context): the lines of a slice's concepts, section after section in the order given, each sorted; a section has id and line.  A slice has at most some dozen concepts, so its text is short."""
+    lines = None
+    for o, df in enumerate(sections):
+        part = slices.select("question_id", "id").join(df.select("id", "line").where("line is not null").distinct(), "id").select("question_id", F.lit(o).alias("o"), "line")
+        lines = part if lines is None else lines.unionByName(part)
+    g = lines.groupBy("question_id").agg(F.array_sort(F.collect_set(F.struct("o", "line"))).alias("l"))
+    return g.select("question_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("context"))

@@ -11,7 +11,7 @@ from ontoloom.session import cut, discard
 
 def tree_closure(nodes: DataFrame) -> DataFrame:
     """(descendant, ancestor, distance) of a taxonomy's tree nodes, the node itself left out: their paths exploded, so the work is the size of the result."""
-    p = hierarchy.paths(nodes).select(F.col("concept_id").alias("descendant"), F.reverse(F.split("path", "/")).alias("way"))
+    p = hierarchy.shared_ways(nodes).select(F.col("concept_id").alias("descendant"), F.reverse("way").alias("way"))
     return p.select("descendant", F.posexplode("way").alias("distance", "ancestor")).where("distance > 0").select("descendant", "ancestor", "distance")
 
 
@@ -139,6 +139,29 @@ def paths(relations: DataFrame, questions: DataFrame, max_hops: int = 4) -> Data
     return out.select("src", "dst", F.size("names").alias("hops"), F.array_join("names", "→").alias("path"))
 
 
+def shortest_paths(relations: DataFrame, questions: DataFrame, sets: DataFrame, max_hops: int = 4) -> DataFrame:
+    """(src, dst, hops, path): of the shortest ways from src to dst the one of the least names, over relations (name, domain, range) that a concept has or inherits along nested sets (hierarchy.nested_sets).
+
+    Each question keeps one way to a concept and goes on only while its target isn't reached; a concept's relations
+    are those of the owners whose ranges hold it, so no closure is made."""
+    rel = relations.where("domain is not null and range is not null").select("name", "domain", "range").distinct()
+    place = sets.select("concept_id", "lo", "hi")
+    owned = cut(rel.join(place.withColumnRenamed("concept_id", "domain"), "domain").select("name", "range", F.col("lo").alias("qlo"), F.col("hi").alias("qhi")))
+    loose = rel.join(place.select(F.col("concept_id").alias("domain")), "domain", "left_anti")  # owners outside the trees are inherited by none
+    cur = cut(questions.select("src", "dst").distinct().select("src", "dst", F.col("src").alias("at"), F.lit("").alias("path")))
+    seen, out = cur.select("src", "dst", "at"), None
+    for k in range(1, max_hops + 1):
+        near = cut(cur.select(F.col("at").alias("concept_id")).distinct().join(place, "concept_id"))
+        steps = hierarchy.covering(near, owned).select(F.col("concept_id").alias("at"), "name", "range").distinct().unionByName(loose.select(F.col("domain").alias("at"), "name", "range"))
+        way = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("→", "path", "name"))
+        nxt = cut(cur.join(steps, "at").groupBy("src", "dst", F.col("range").alias("at")).agg(F.min(way).alias("path")).join(seen, ["src", "dst", "at"], "left_anti"))
+        hit = nxt.where("at = dst").select("src", "dst", F.lit(k).alias("hops"), "path")
+        out = hit if out is None else out.unionByName(hit)
+        cur = nxt.join(hit.select("src", "dst"), ["src", "dst"], "left_anti")
+        seen = seen.unionByName(nxt.select("src", "dst", "at"))
+    return out
+
+
 def multiple_parents(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(child, n_parents, n_roots) of children whose parents lie under different roots; roots: id, root."""
     p = edges.select("child", "parent").distinct().join(roots.withColumnRenamed("id", "parent"), "parent")

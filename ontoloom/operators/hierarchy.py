@@ -160,8 +160,8 @@ def shared_sets(nodes: DataFrame) -> DataFrame:
     return once("nested_sets", nodes, nested_sets)
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(concept_id, path): ids from the root to the node, joined by '/', by doubling."""
+def ways(nodes: DataFrame) -> DataFrame:
+    """(concept_id, way): ids from the root to the node, by doubling."""
     tree = climb(links(nodes))[0]
     deepest = tree.agg(F.max("depth")).first()[0] or 0
     cur = tree.select("id", F.col("parent").alias("hop"), F.array("id").alias("way"))
@@ -170,16 +170,32 @@ def paths(nodes: DataFrame) -> DataFrame:
         far = cur.select(F.col("id").alias("hop"), F.col("hop").alias("h2"), F.col("way").alias("w2"))
         cur = cut(cur.join(far, "hop", "left").select("id", F.col("h2").alias("hop"), F.when(F.col("w2").isNull(), F.col("way")).otherwise(F.concat("w2", "way")).alias("way")))
         reach *= 2
-    return cur.select(F.col("id").alias("concept_id"), F.concat_ws("/", "way").alias("path"))
+    return cur.select(F.col("id").alias("concept_id"), "way")
+
+
+def shared_ways(nodes: DataFrame) -> DataFrame:
+    """ways() of a table read from files, made once per application and state of the files."""
+    return once("ways", nodes, ways)
+
+
+def paths(nodes: DataFrame) -> DataFrame:
+    """(concept_id, path): ids from the root to the node, joined by '/'."""
+    return ways(nodes).select("concept_id", F.concat_ws("/", "way").alias("path"))
+
+
+def covering(points: DataFrame, ranges: DataFrame, buckets: int = 1024) -> DataFrame:
+    """points (with lo) joined with the ranges (with qlo, qhi) that hold them: a range is cut at bucket borders, joined on the bucket, and filtered."""
+    width = F.greatest(F.lit(1), F.ceil(F.lit(ranges.agg(F.max("qhi")).first()[0] or 0) / buckets)).cast("bigint")
+    q = ranges.withColumn("b", F.explode(F.sequence(F.floor(F.col("qlo") / width), F.floor(F.col("qhi") / width))))
+    return points.withColumn("b", F.floor(F.col("lo") / width)).join(q, "b").where("lo between qlo and qhi").drop("b")
 
 
 def descendants_of(sets: DataFrame, ids: DataFrame | None = None, buckets: int = 1024) -> DataFrame:
     """(concept_id, descendant_id) for the ids asked for, or all, by range: a range is cut at bucket borders, joined on the bucket, and filtered."""
-    width = F.greatest(F.lit(1), F.ceil(F.lit(sets.agg(F.max("hi")).first()[0] or 0) / buckets)).cast("bigint")
     asked = sets if ids is None else ids.select("concept_id").distinct().join(sets, "concept_id")
-    q = asked.where("n_descendants > 0").select(F.col("concept_id").alias("q"), F.col("lo").alias("qlo"), F.col("hi").alias("qhi")).withColumn("b", F.explode(F.sequence(F.floor(F.col("qlo") / width), F.floor(F.col("qhi") / width))))
-    d = sets.select(F.col("concept_id").alias("descendant_id"), "lo", F.floor(F.col("lo") / width).alias("b"))
-    return q.join(d, "b").where("lo > qlo and lo <= qhi").select(F.col("q").alias("concept_id"), "descendant_id")
+    q = asked.where("n_descendants > 0").select(F.col("concept_id").alias("q"), (F.col("lo") + 1).alias("qlo"), F.col("hi").alias("qhi"))
+    d = sets.select(F.col("concept_id").alias("descendant_id"), "lo")
+    return covering(d, q, buckets).select(F.col("q").alias("concept_id"), "descendant_id")
 
 
 def found(nodes: DataFrame) -> DataFrame:

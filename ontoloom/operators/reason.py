@@ -38,6 +38,62 @@ def inherited(closure: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFra
     return j.groupBy("id", "fact").agg(F.min(F.struct("distance", "origin")).alias("m")).select("id", "fact", F.col("m.origin").alias("origin"), F.col("m.distance").alias("distance"))
 
 
+def tagged(inherited_facts: DataFrame) -> DataFrame:
+    """inherited() with `how`: the rule that a fact is proven by."""
+    return inherited_facts.select("id", "fact", "origin", "distance", F.when(F.col("distance") == 0, "direct").otherwise("inheritance").alias("how"))
+
+
+def proofs(questions: DataFrame, sets: DataFrame, ways: DataFrame) -> DataFrame:
+    """(child, parent, answer, distance, proof): is_a with its steps from child to parent, one subclass link each; null without a positive answer.  ways: hierarchy.ways."""
+    a = is_a(questions, sets)
+    w = ways.select(F.col("concept_id").alias("child"), F.reverse("way").alias("up"))
+    proof = F.when(F.col("answer"), F.array_join(F.slice("up", F.lit(1), F.col("distance") + 1), "→"))
+    return a.join(w, "child", "left").select("child", "parent", "answer", "distance", proof.alias("proof"))
+
+
+def names(facts: DataFrame, key: str, value: str, alias: str) -> DataFrame:
+    """(key, alias): the sorted distinct values of each key, joined by '|'."""
+    return facts.groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(value)), "|").alias(alias))
+
+
+def lost_facts(edges: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+    """(child, parent, lost_<kind> ...): what the child of each link only has from above, by kind; facts: inherited()."""
+    out = edges.select("child", "parent")
+    for kind, inh in facts.items():
+        out = out.join(names(inh.where("distance > 0").withColumnRenamed("id", "child"), "child", "fact", f"lost_{kind}"), "child", "left")
+    return out.select("child", "parent", *[F.coalesce(f"lost_{k}", F.lit("")).alias(f"lost_{k}") for k in facts])
+
+
+def gained_facts(links: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
+    """(child, parent, gained_<kind> ...): what each child would have from a new parent that it lacks, by kind."""
+    out = links.select("child", "parent").distinct()
+    for kind, inh in facts.items():
+        offer = out.select("child", "parent").join(inh.select(F.col("id").alias("parent"), "fact"), "parent")
+        new = offer.join(inh.select(F.col("id").alias("child"), "fact"), ["child", "fact"], "left_anti")
+        got = new.groupBy("child", "parent").agg(F.array_join(F.array_sort(F.collect_set("fact")), "|").alias(f"gained_{kind}"))
+        out = out.join(got, ["child", "parent"], "left")
+    return out.select("child", "parent", *[F.coalesce(f"gained_{k}", F.lit("")).alias(f"gained_{k}") for k in facts])
+
+
+#: What answers a question of a category; others are described.
+ROUTES = {"subclass": "is_a", "subclass_transitive": "is_a", "relation_inheritance": "relations", "permission": "relations", "subclass_relation": "relations", "derived_property": "derived"}
+
+
+def dispatch(questions: DataFrame, mentioned: DataFrame, sets: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """(question_id, route, concept_id, answer) of questions (question_id, category), by the concepts they mention (question_id, rank, id) alone: is_a asks whether the first lies below the second; other routes give the list of that name (id, answer) of the first; no mention or list, no answer."""
+    route = F.coalesce(F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv])[F.col("category")], F.lit("describe"))
+    first = mentioned.where("rank = 1").select("question_id", F.col("id").alias("concept_id"))
+    second = mentioned.where("rank = 2").select("question_id", F.col("id").alias("other"))
+    q = questions.select("question_id", route.alias("route")).join(first, "question_id", "left").join(second, "question_id", "left")
+    yes = is_a(q.where("route = 'is_a' and other is not null").select(F.col("concept_id").alias("child"), F.col("other").alias("parent")), sets).select(F.col("child").alias("concept_id"), F.col("parent").alias("other"), F.lit("is_a").alias("route"), F.when(F.col("answer"), "是").when(~F.col("answer"), "否").alias("said"))
+    listed = None
+    for name, df in lists.items():
+        part = df.select(F.col("id").alias("concept_id"), F.lit(name).alias("route"), F.col("answer").alias("listed"))
+        listed = part if listed is None else listed.unionByName(part)
+    j = q.join(yes, ["concept_id", "other", "route"], "left").join(listed, ["concept_id", "route"], "left")
+    return j.select("question_id", "route", "concept_id", F.coalesce("said", "listed").alias("answer"))
+
+
 def check_constraints(relations: DataFrame, declared: DataFrame, sets: DataFrame) -> DataFrame:
     """(relation_id, domain_ok, range_ok, confidence): domain and range must be subclasses of those declared for the relation's name (name, domain, range); a side that isn't declared or known passes."""
     r = relations.join(declared.select("name", F.col("domain").alias("dd"), F.col("range").alias("dr")), "name")
@@ -108,6 +164,14 @@ def describe(concepts: DataFrame, sets: DataFrame, properties: DataFrame, relati
     return concepts.select("id", "name").join(s, "id", "left").join(p, "id", "left").join(r, "id", "left").select("id", "name", "depth", "n_descendants", F.coalesce("properties", F.lit("")).alias("properties"), F.coalesce("relations", F.lit("")).alias("relations"))
 
 
+def mentioned(questions: DataFrame, concepts: DataFrame, most: int = 2) -> DataFrame:
+    """(question_id, rank, id): the `most` longest concept names of each question, ties by name; of equal names the least id.  concepts: id, name."""
+    n = concepts.select(F.lower("name").alias("k"), "name", "id").where("length(name) >= 2").groupBy("k").agg(F.min("name").alias("name"), F.min("id").alias("id"))
+    hit = substrings(questions.select("question_id", "question"), "question", n).join(n, "k")
+    w = Window.partitionBy("question_id").orderBy(F.desc(F.length("name")), "name")
+    return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("question_id", "rank", "id")
+
+
 def mentions(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     """(question_id, name): the longest concept name in each question, ties to the least; substrings are joined on equality, not compared pairwise."""
     names = concepts.select(F.lower("name").alias("k"), "name").where("length(name) >= 2").groupBy("k").agg(F.min("name").alias("name"))

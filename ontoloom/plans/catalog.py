@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ontoloom.plans import reasoning, records, schemas, tables, texts
+from ontoloom.plans import answers, reasoning, records, schemas, tables, texts
 
-_PARTS = [records, texts, tables, reasoning, schemas]
+_PARTS = [records, texts, tables, reasoning, schemas, answers]
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 #: Columns whose SQL type differs from the query's (literals are decimals there, counts of rounds plain integers).
 _CASTS = {

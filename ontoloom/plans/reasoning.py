@@ -174,9 +174,8 @@ def classify_customers(s, d):
     return table(s, d, "customer").join(o, "c_custkey", "left").select("c_custkey", compile_formula(SEGMENT).alias("segment"))
 
 
-#: Sample triggers, relations of the sample graph, and rules.
+#: Sample triggers and rules.
 TRIGGERS = [("purchase_done", "purchase completed"), ("login_error", "error after view"), ("welcome", "signup mail"), ("ad_click", "click on advert")]
-GRAPH = [("canPlaceOrder", "客户", "订单"), ("canCheck", "客户", "物流状态"), ("包含", "订单", "商品"), ("状态", "订单", "物流状态"), ("hasDiscount", "VIP客户", "折扣优惠"), ("属于", "商品", "类目"), ("收藏", "客户", "商品")]
 RULES = [(1, "如果年消费额 > 100000 且客户已实名，则客户是VIP客户"), (2, "若订单超时并未支付，那么订单取消"), (3, "商品属于类目"), (4, "当库存 < 10 就补货")]
 ATOMS = [(1, "body", "VIP客户", ["x"]), (1, "body", "placesOrder", ["x", "y"]), (1, "head", "hasDiscount", ["x"]), (2, "body", "hasDiscount", ["x"]), (2, "head", "VIP客户", ["x"]), (3, "head", "订单", ["z"]), (4, "body", "订单", ["a"]), (4, "head", "取消", ["a", "b"]), (5, "body", "商品", ["q"])]
 TYPES = ["VARCHAR(100)", "CHAR(2)", "DECIMAL(10,2)", "TINYINT UNSIGNED", "TINYINT", "DATE", "DATETIME", "TIMESTAMP", "ENUM('a','b')", "BIGINT", "POINT", "BOOLEAN"]
@@ -194,16 +193,6 @@ def _values(rows) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(v, r)) + ")" for r in rows) + ")"
 
 
-def find_paths(s, d):
-    q = s.createDataFrame([("客户", "物流状态"), ("客户", "类目"), ("VIP客户", "折扣优惠"), ("类目", "客户")], "src string, dst string")
-    return graph.paths(s.createDataFrame(GRAPH, "name string, domain string, range string"), q).withColumn("hops", F.col("hops").cast("bigint"))
-
-
-_PATHS = f"""with recursive g as (select * from {_values(GRAPH)} v(name, domain, range)), q as (select * from (values ('客户', '物流状态'), ('客户', '类目'), ('VIP客户', '折扣优惠'), ('类目', '客户')) v(src, dst)),
-w as (select src, dst, src as at_, [src] seen, []::varchar[] names from q union all select src, dst, g.range, list_append(seen, g.range), list_append(names, g.name) from w join g on g.domain = w.at_ where w.at_ <> w.dst and not list_contains(seen, g.range) and len(names) < 4)
-select src, dst, len(names) as hops, array_to_string(names, '→') as path from w where at_ = dst and len(names) > 0"""
-
-
 def eca_fire(s, d):
     e = table(s, d, "events").groupBy(F.col("event_type").alias("event")).agg(F.count(F.lit(1)).alias("n_events"))
     t = s.createDataFrame(TRIGGERS, "name string, text string")
@@ -384,11 +373,6 @@ def relevant_slice(s, d):
     return context.surroundings(relevance_topk(s, d), _closure(s, d)).withColumn("how", F.col("how").cast("bigint"))
 
 
-def context_text(s, d):
-    l = hierarchy.links(table(s, d, "taxonomy_node"))
-    return context.as_text(relevant_slice(s, d), concepts(s, d), l, relations(s, d))
-
-
 #: Configured subjects of the sample.
 SUBJECTS = [("管理员", None), ("VIP客户", "普通客户"), ("普通客户", None), ("代理商", "无此人")]
 
@@ -405,7 +389,6 @@ rel20 as (select question_id, id, score from (select *, row_number() over (parti
 QUERIES = {
     "relevance_topk": relevance_topk,
     "relevant_slice": relevant_slice,
-    "context_text": context_text,
     "perm_subjects": perm_subjects,
     "triggers_swrl": lambda s, d: mining.triggers_of_rules(s.createDataFrame(TIMED, "rule_id bigint, part string, predicate string, variables array<string>")),
     "closure_geo": closure_geo,
@@ -424,7 +407,6 @@ QUERIES = {
     "mentions": mentions,
     "derived_lineage": lambda s, d: reason.lineage(properties(s, d)),
     "classify_customers": classify_customers,
-    "find_paths": find_paths,
     "eca_fire_events": eca_fire,
     "domain_vote": domain_vote,
     "range_vote": range_vote,
@@ -472,7 +454,6 @@ _ROLE_SQL = mining.ROLES.replace("'", "''")
 ORACLE = {
     "relevance_topk": _REL20 + " select * from rel20",
     "relevant_slice": _SLICE + " select * from slice",
-    "context_text": _SLICE + ", lines as (select question_id, 1 o, 'concept: ' || name line from slice join con using (id) union select question_id, 2, slice.id || ' is a ' || l.parent from slice join l using (id) where l.parent is not null union select question_id, 3, rel.domain || ' ' || rel.name || ' ' || coalesce(rel.range, '?') from slice join rel on rel.domain = slice.id) select question_id, string_agg(line, chr(10) order by o, line) as context from lines where line is not null group by 1",
     "perm_subjects": f"with c as (select * from {_values(SUBJECTS)} v(name, parent)), f as (select doc_id, unnest(regexp_extract_all(text, '{_ROLE_SQL}', 1)) name from documents where text is not null) select name, 'config' as origin, case when parent in (select name from c) then parent end as parent, 0 as n_docs from c union all select name, 'text', null, count(distinct doc_id) from f where length(name) between 2 and 10 and name not in (select name from c) group by 1",
     "triggers_swrl": f"with a as (select *, predicate || '(' || array_to_string(vars, ', ') || ')' x from {_values(TIMED)} v(rule_id, part, predicate, vars)) select rule_id, 'time_based' as event_type, array_to_string(list_sort(list(x) filter (where part = 'body')), ' AND ') as condition_expression, array_to_string(list_sort(list(x) filter (where part = 'head')), ' AND ') as action_detail from a group by rule_id having bool_or(part = 'body' and predicate in ('swrlb:greaterThan', 'swrlb:lessThan') and len(list_filter(vars, lambda v: regexp_matches(lower(v), 'time|date'))) > 0)",
     "closure_geo": _GEO + "select child, ancestor, min(distance) as distance from c group by 1, 2",
@@ -495,7 +476,6 @@ select relation_id, domain_ok, range_ok, case when domain_ok and range_ok then 1
     "mentions": _BASE + ", q as (select id question_id, lower(max(question)) q from qa_dataset group by 1), n as (select lower(name) k, min(name) as name from con where length(name) >= 2 group by 1) select question_id, arg_min(name, (-length(name), name)) as name from q join n on contains(q.q, n.k) group by 1",
     "derived_lineage": _BASE + ", u as (select distinct id, owner, unnest(regexp_extract_all(lower(formula), '([a-z_][a-z0-9_]*)', 1)) s from prop where formula <> '' and owner <> '') select u.id as property_id, s as source_name, count(distinct p.id) as n_sources from u join prop p on p.owner = u.owner and lower(p.name) = s group by 1, 2",
     "classify_customers": "select c_custkey, case when spend > 2000000 then 'VIP' when spend is not null and n_orders >= 5 then 'regular' when spend is null then 'none' else 'small' end as segment from customer left join (select o_custkey c_custkey, sum(o_totalprice) spend, count(*) n_orders from orders group by 1) using (c_custkey)",
-    "find_paths": _PATHS,
     "eca_fire_events": _FIRE,
     "domain_vote": _BASE + ", tri as (select rel.name predicate, lower(trim(con.source)) cls from rel left join con on con.id = rel.domain where rel.domain is not null), " + _VOTE + _VOTED,
     "range_vote": _BASE + ", tri as (select name predicate, value_type cls from prop), " + _VOTE + _VOTED,
