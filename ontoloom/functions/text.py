@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,13 +63,3 @@ def indel(a: str, b: str) -> float:
     """2 LCS / (|a| + |b|); 1 for two empty strings."""
     n = len(a) + len(b)
     return 2 * lcs_length(a, b) / n if n else 1.0
-
-
-def indel_ratio(a: Column, b: Column) -> Column:
-    """indel() over Arrow batches; null if either is null."""
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else indel(p, q) for p, q in zip(x, y)], dtype="float64")
-
-    return ratio(a, b)

@@ -37,19 +37,18 @@ def tolerant_json(text: str | None) -> Any:
     return {}
 
 
-def ask(prompts: DataFrame, hook: Hook = null_hook, failures: int = 3) -> DataFrame:
-    """(prompt_id, answer) of prompts (prompt_id, prompt): one call a batch; after `failures` failed calls of a stream the rest of it gets empty answers."""
+def ask(prompts: DataFrame, hook: Hook = null_hook, tries: int = 3) -> DataFrame:
+    """(prompt_id, answer, failed) of prompts (prompt_id, prompt): one call a batch, tried up to `tries` times; the prompts of a batch whose every call fails have empty answers and are marked, later batches are asked all the same."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        failed = 0
         for p in parts:
-            answers = [""] * len(p)
-            if failed < failures:
+            answers = None
+            for _ in range(tries):
                 try:
                     answers = hook(p.prompt.tolist())
-                    failed = 0
+                    break
                 except Exception:
-                    failed += 1
-            yield pd.DataFrame({"prompt_id": p.prompt_id, "answer": answers})
+                    continue
+            yield pd.DataFrame({"prompt_id": p.prompt_id, "answer": [""] * len(p) if answers is None else answers, "failed": answers is None})
 
-    return prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), "prompt").mapInPandas(run, "prompt_id string, answer string")
+    return prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), "prompt").mapInPandas(run, "prompt_id string, answer string, failed boolean")

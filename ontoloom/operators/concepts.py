@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.functions.text import indel_ratio, ngrams, substrings, trim
+from ontoloom.functions.text import indel, ngrams, substrings, trim
 from ontoloom.operators.graph import components
 from ontoloom.session import cut
 
@@ -49,12 +51,77 @@ def merge_exact(concepts: DataFrame) -> DataFrame:
     return concepts.where("name is not null").withColumn("k", k).join(g, "k").select("component", "id")
 
 
+#: Longest names that are compared by segments; their keys grow with the cube of the length.
+SEGMENTED = 48
+
+
+def segment_keys(name: str, threshold: float) -> tuple[set[int], set[int]]:
+    """Hashed keys (own, sought) such that of two names of at most SEGMENTED characters whose InDel ratio reaches the threshold, an own key of the shorter is a sought one of the longer.
+
+    Lengths n and m leave some number of insertions and deletions; each touches one segment at most, so cut into one
+    segment more than that the shorter has one that stands unaltered in the longer, shifted by the insertions before it
+    at most to the right and by the deletions to the left."""
+    own: set[int] = set()
+    sought: set[int] = set()
+
+    def edits(n: int, m: int) -> int:
+        most = int((1 - threshold) * (n + m) + 1e-9)
+        return most - (most - (m - n)) % 2
+
+    def segments(n: int, d: int):
+        at = 0
+        for i in range(d + 1):
+            size = n // (d + 1) + (i >= d + 1 - n % (d + 1))
+            yield i, at, size
+            at += size
+
+    size = len(name)
+    raw = name.encode("utf-32-le", "surrogatepass")
+    head = lambda n, d, i: (n * 64 + d) * 64 + i
+    for d in {edits(size, m) for m in range(size, int(size * (2 - threshold) / threshold + 1e-9) + 1) if m - size <= edits(size, m) < size}:
+        own |= {head(size, d, i) << 32 | crc32(raw[4 * p : 4 * (p + k)]) for i, p, k in segments(size, d)}
+    for n in range(max(1, int(size * threshold / (2 - threshold))), size + 1):
+        d = edits(n, size)
+        if size - n <= d < n:
+            right, left = (d + size - n) // 2, (d - size + n) // 2
+            for i, p, k in segments(n, d):
+                h = head(n, d, i) << 32
+                sought |= {h | crc32(raw[4 * q : 4 * (q + k)]) for q in range(max(0, p - left), min(size - k, p + right) + 1)}
+    return own, sought
+
+
 def similar_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(a, b, ratio): links between different names of InDel ratio of threshold or more; names: name, distinct.
 
-    A ratio of t leaves at most (1 - t) / (2 t) of a name's length unmatched, so similar names share one of the rarest
-    bigrams that fill a prefix of that size (prefix filter) and their lengths are near; the pairs so found are verified.
-    Names of one character have no bigram and equal only themselves."""
+    Names of up to SEGMENTED characters meet on an unaltered segment (segment_keys).  Longer ones share one of the rarest
+    bigrams that fill a prefix of the size that their edits may break, near the same place, and their lengths are near.
+    Of the pairs so found those with too many characters that only one has are dropped, the rest verified.  Names of one
+    character equal only themselves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [segment_keys(x, threshold) for x in b.column(0).to_pylist()]
+            for side in (0, 1):
+                n = np.array([len(g[side]) for g in got], np.int64)
+                keys = np.fromiter((k for g in got for k in g[side]), np.int64, int(n.sum()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(got)), n))), pa.array(keys), pa.array(np.full(len(keys), side, np.int32))], names=["name", "k", "side"])
+
+    t = cut(names.where(F.length("name").between(2, SEGMENTED)).select("name").mapInArrow(run, "name string, k bigint, side int"))
+    x, y = t.where("side = 0").select("k", F.col("name").alias("x")), t.where("side = 1").select("k", F.col("name").alias("y"))
+    near = x.join(y, "k").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    long = _long_pairs(names.where(F.length("name") > int(SEGMENTED * threshold / (2 - threshold))), threshold)
+    pairs = cut(near.unionByName(long).distinct())
+
+    @F.pandas_udf("double")
+    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+        most = 1 - threshold
+        return pd.Series([indel(p, q) if len(set(p) ^ set(q)) <= most * (len(p) + len(q)) + 1e-9 else 0.0 for p, q in zip(x, y)], dtype="float64")
+
+    return pairs.withColumn("ratio", F.round(ratio("a", "b"), 6)).where(F.col("ratio") >= threshold)
+
+
+def _long_pairs(names: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): candidates of names one of which has over SEGMENTED characters, by a prefix filter over rare bigrams."""
     grams = names.select("name", F.length("name").alias("n"), F.posexplode(ngrams(F.col("name"), 2)).alias("pos", "g"))
     numbered = grams.withColumn("k", F.row_number().over(Window.partitionBy("name", "g").orderBy("pos"))).withColumn("g", F.concat_ws("#", "g", "k"))
     freq = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
@@ -63,18 +130,38 @@ def similar_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
     edits = F.floor((1 - threshold) * F.col("n") * (1 + (2 - threshold) / threshold) + 1e-9)
     prefix = cut(ranked.where(F.col("r") <= 2 * edits + 1).select("name", "n", "g", "pos"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.g") == F.col("y.g")) & (F.col("x.name") < F.col("y.name")) & (2 * F.least("x.n", "y.n") >= threshold * (F.col("x.n") + F.col("y.n")))
+    near = (F.col("x.g") == F.col("y.g")) & (F.col("x.name") < F.col("y.name")) & (F.greatest("x.n", "y.n") > SEGMENTED) & (2 * F.least("x.n", "y.n") >= threshold * (F.col("x.n") + F.col("y.n")))
     shift = F.abs(F.col("x.pos") - F.col("y.pos")) <= (1 - threshold) * (F.col("x.n") + F.col("y.n")) + 1e-9
-    pairs = x.join(y, near & shift).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
-    return pairs.withColumn("ratio", F.round(indel_ratio(F.col("a"), F.col("b")), 6)).where(F.col("ratio") >= threshold)
+    return x.join(y, near & shift).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+
+
+def cosine_links(vectors: DataFrame, threshold: float = 0.85, judge_from: float | None = None) -> DataFrame:
+    """(a, b, cosine): pairs of different ids whose sparse unit vectors (id, bucket, weight; hash_embed) have a cosine of threshold or more, or of judge_from.
+
+    Leaving out of a vector the commonest buckets whose norm is below the threshold loses no partner: some bucket of the
+    rest must be in the other vector too.  So only the rare rest of each is joined, and what meets is verified by the
+    dot product over shared buckets."""
+    least = threshold if judge_from is None else judge_from
+    df = vectors.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    w = Window.partitionBy("id").orderBy(F.desc("df"), "bucket").rowsBetween(Window.unboundedPreceding, 0)
+    heads = vectors.join(df, "bucket").withColumn("light", F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w))).where(F.col("light") >= least - 1e-4)
+    v = vectors.select("bucket", F.col("id").alias("other"))
+    pairs = cut(heads.select("bucket", "id").join(v, "bucket").where("id != other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct())
+    x, y = vectors.select(F.col("id").alias("a"), "bucket", F.col("weight").alias("u")), vectors.select(F.col("id").alias("b"), "bucket", F.col("weight").alias("v"))
+    c = pairs.join(x, "a").join(y, ["b", "bucket"]).groupBy("a", "b").agg(F.round(F.sum(F.col("u") * F.col("v")), 4).alias("cosine"))
+    return c.where(F.col("cosine") >= least)
 
 
-def merge_similar(concepts: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(id, component, n_links): classes of concepts joined by equal or similar names, transitively; n_links counts the similar names of the concept's own."""
+def merge_similar(concepts: DataFrame, threshold: float = 0.85, more: DataFrame | None = None) -> DataFrame:
+    """(id, component, n_links): classes of concepts joined by equal or similar names, and by the links `more` (a, b: ids) of vectors or a judge, transitively; n_links counts the similar names of the concept's own."""
     named = concepts.where("name is not null").select("id", F.lower(trim("name")).alias("name"))
     names = cut(named.select("name").distinct())
     links = cut(similar_names(names, threshold).select("a", "b"))
-    comp = components(names.withColumnRenamed("name", "id"), links).withColumnRenamed("id", "name")
+    every = links
+    if more is not None:
+        by_id = more.select("a", "b").join(named.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
+        every = links.unionByName(by_id.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
+    comp = components(names.withColumnRenamed("name", "id"), every).withColumnRenamed("id", "name")
     least = named.join(comp, "name").groupBy("component").agg(F.min("id").alias("c"))
     n = links.select(F.col("a").alias("name")).unionByName(links.select(F.col("b").alias("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
     return named.join(comp, "name").join(least, "component").join(n, "name", "left").select("id", F.col("c").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -89,10 +176,10 @@ def representatives(concepts: DataFrame, groups: DataFrame) -> DataFrame:
     return best.join(al, "component", "left").select("component", "name", "confidence", "description", F.coalesce("aliases", F.lit("")).alias("aliases"), "n_members")
 
 
-def hash_embed(texts: DataFrame, dim: int = 384) -> DataFrame:
-    """(id, bucket, weight): L2-normalised hashed bigrams (weight 1/2) and trigrams (1) of a text, long form; texts without two characters have no row."""
+def hash_embed(texts: DataFrame, dim: int | None = 384) -> DataFrame:
+    """(id, bucket, weight): L2-normalised bigrams (weight 1/2) and trigrams (1) of a text, hashed to dim buckets or, for None, as they are; long form; texts without two characters have no row."""
     g = F.concat(F.transform(ngrams(F.col("text"), 3), lambda x: F.struct(x.alias("g"), F.lit(1.0).alias("w"))), F.transform(ngrams(F.col("text"), 2), lambda x: F.struct(x.alias("g"), F.lit(0.5).alias("w"))))
-    b = F.pmod(F.conv(F.substring(F.md5("x.g"), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
+    b = F.pmod(F.conv(F.substring(F.md5("x.g"), 1, 8), 16, 10).cast("bigint"), F.lit(dim)) if dim else F.col("x.g")
     s = texts.where("text is not null").select("id", F.explode(g).alias("x")).groupBy("id", b.alias("bucket")).agg(F.sum("x.w").alias("s"))
     return s.withColumn("norm", F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("id")))).select("id", "bucket", F.round(F.col("s") / F.col("norm"), 6).alias("weight"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ontoloom.functions.ids import det_id
 from ontoloom.functions.text import trim
 from ontoloom.operators import concepts as con
-from ontoloom.operators import enrich, graph, mining, profile, querylog
+from ontoloom.operators import enrich, graph, hierarchy, mining, profile, querylog
 from ontoloom.operators import schema_ops as so
 from ontoloom.session import cut, get_session
 from ontoloom.sources import ddl, files
@@ -71,14 +71,27 @@ def extract_concepts(t: Tables) -> Tables:
     return t | {"concepts": cut(one.join(key, one.name_en == key.table_name, "left").drop("table_name"))}
 
 
+def by_name(links: DataFrame, t: Tables) -> DataFrame:
+    """links (child, parent, confidence) with aliases replaced by the names of their concepts, links of a concept to itself left out."""
+    a = t["concept_synonyms"].groupBy("alias").agg(F.min("standard").alias("standard"))
+    for c in ("child", "parent"):
+        links = links.join(a.select(F.col("alias").alias(c), F.col("standard").alias("std")), c, "left").withColumn(c, F.coalesce("std", c)).drop("std")
+    return links.where("child != parent").groupBy("child", "parent").agg(F.max("confidence").alias("confidence"))
+
+
 def build_taxonomy(t: Tables) -> Tables:
     """Stage 3: is-a links of texts and of names, without cycles."""
     names = t["concepts"].select("id", "name")
-    links = mining.hearst(t["docs"]).select("child", "parent", "confidence").unionByName(con.substring_hierarchy(t["concepts"].select("name", "instance_count")))
+    held = con.substring_hierarchy(t["concepts"].select("name", "instance_count"))
+    links = held.unionByName(graph.attach(held, by_name(mining.hearst(t["docs"]).select("child", "parent", "confidence"), t)))
     e = links.groupBy("child", "parent").agg(F.max("confidence").alias("confidence"))
     known = e.join(names.select(F.col("name").alias("child")), "child", "left_semi").join(names.select(F.col("name").alias("parent")), "parent", "left_semi")
     kept, removed = graph.remove_cycles(known)
-    return t | {"taxonomy": kept, "removed_links": removed}
+    names_ = kept.select(F.col("child").alias("id")).unionByName(kept.select(F.col("parent").alias("id"))).distinct()
+    tops = names_.join(kept.select(F.col("child").alias("id")), "id", "left_anti").withColumn("parent", F.lit(None).cast("string"))
+    one = kept.groupBy(F.col("child").alias("id")).agg(F.max_by("parent", F.struct("confidence", "parent")).alias("parent")).unionByName(tops)
+    depths = hierarchy.climb(one)[0].select(F.col("id").alias("name"), F.col("root").alias("root"), "depth")
+    return t | {"taxonomy": kept, "removed_links": removed, "taxonomy_depths": depths}
 
 
 def build_relations(t: Tables) -> Tables:
@@ -95,6 +108,26 @@ def build_relations(t: Tables) -> Tables:
     return t | {"properties": props, "relations": every, "reified": so.reify(every, t["concepts"].select("id", "name")), "normalised": so.normalise(every, t["relation_synonyms"])}
 
 
+def check_consistency(t: Tables) -> Tables:
+    """After stage 5: (check, n) of what is broken: references to unknown concepts, cycles, domains other than the axioms say; warnings only."""
+    ids = t["concepts"].select("id")
+    refs = {"property.domain": t["properties"].select(F.col("id").alias("row"), F.col("domain_concept_id").alias("ref")), "relation.domain": t["relations"].select(F.col("relation_id").alias("row"), F.col("domain").alias("ref")), "relation.range": t["relations"].select(F.col("relation_id").alias("row"), F.col("range").alias("ref"))}
+    one = t["taxonomy"].groupBy("child").agg(F.max_by("parent", F.struct("confidence", "parent")).alias("parent"))
+    broken = so.structure_check(refs, ids, {}, one)
+    declared = t["axioms"].where("axiom_type = 'domain'").select(F.col("subject").alias("predicate"), F.col("object").alias("cls"))
+    conflicts = so.domain_conflicts(declared, t["relations"].select("relation_id", "name", F.col("domain").alias("cls")))
+    return t | {"consistency": broken.unionByName(conflicts.agg(F.count(F.lit(1)).alias("n")).select(F.lit("domain.axiom").alias("check"), "n").where("n > 0"))}
+
+
+def stage_report(t: Tables) -> DataFrame:
+    """(output, n_rows, columns) of each output table."""
+    out = None
+    for k, df in t.items():
+        part = df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(k).alias("output"), "n_rows", F.lit(", ".join(df.columns)).alias("columns"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def build_axioms(t: Tables) -> Tables:
     """Stage 5: subClassOf, domain and range axioms with risk and status, rejected ones left out."""
     sub = t["taxonomy"].select(F.lit("subClassOf").alias("axiom_type"), F.col("child").alias("subject"), F.col("parent").alias("object"), "confidence")
@@ -116,14 +149,18 @@ def process_all(t: Tables) -> Tables:
     return t | {"atomic_operations": mining.operations(t["docs"]), "query_operations": querylog.operations(t["log"], t["concepts"]), "service_compositions": mining.flows(t["docs"]), "permission_rules": mining.permissions(t["docs"], t["subjects"]), "query_patterns": querylog.crud(t["log"])}
 
 
-OUTPUTS = "concepts taxonomy properties relations reified normalised axioms glossary_terms external_mappings semantic_annotations trigger_rules derivations limits atomic_operations query_operations service_compositions permission_rules query_patterns scores".split()
+OUTPUTS = "concepts taxonomy taxonomy_depths properties relations reified normalised axioms consistency glossary_terms external_mappings semantic_annotations trigger_rules derivations limits atomic_operations query_operations service_compositions permission_rules query_patterns scores".split()
+#: Stages by number; consistency is checked with the axioms.
+STAGES = {2: extract_concepts, 3: build_taxonomy, 4: build_relations, 5: lambda t: check_consistency(build_axioms(t)), 6: enrich_all, 7: process_all}
 
 
-def run(spark: SparkSession, ddl_path: str, docs: str, queries: str, config: str = "") -> Tables:
+def run(spark: SparkSession, ddl_path: str, docs: str, queries: str, config: str = "", last: int = 7) -> Tables:
+    """Outputs of the stages up to `last`."""
     t = load(spark, ddl_path, docs, queries, config)
-    for stage in (extract_concepts, build_taxonomy, build_relations, build_axioms, enrich_all, process_all):
-        t = stage(t)
-    return {k: t[k] for k in OUTPUTS}
+    for n, stage in STAGES.items():
+        if n <= last:
+            t = stage(t)
+    return {k: t[k] for k in OUTPUTS if k in t}
 
 
 def main() -> None:
@@ -131,8 +168,13 @@ def main() -> None:
     for a in ("ddl", "docs", "queries", "out"):
         p.add_argument(f"--{a}", required=True)
     p.add_argument("--config", default="")
+    p.add_argument("--stage", type=int, default=7, choices=range(1, 8), help="last stage to run")
     a = p.parse_args()
-    files.save_ontology(run(get_session(), a.ddl, a.docs, a.queries, a.config), a.out)
+    tables = run(get_session(), a.ddl, a.docs, a.queries, a.config, a.stage)
+    files.save_ontology(tables, a.out)
+    files.save_report(stage_report(tables), f"{a.out}/stage_report")
+    if "consistency" in tables:
+        files.save_report(tables["consistency"], f"{a.out}/consistency_report")
 
 
 if __name__ == "__main__":

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ontoloom.operators import context, graph, hierarchy, reason
+from ontoloom.operators import concepts as con
+from ontoloom.operators import context, graph, hierarchy, models, reason
 from ontoloom.plans.reasoning import _ALL, _SLICE, _facts_prop, _facts_rel, _sets, concepts, properties, relations, relevant_slice
 from ontoloom.session import once, table
 
@@ -120,7 +121,23 @@ def context_text(s, d):
     return context.as_text(relevant_slice(s, d), sections)
 
 
-QUERIES = {q.__name__: q for q in (relations_of, properties_of, is_a_proofs, cf_subclass_lost, cf_subclass_gained, cf_relation_holders, cf_concept_effects, describe_inherited, find_paths, symbolic_answers, context_text)}
+def _vectors(s, d):
+    c = concepts(s, d).where("name is not null").groupBy(F.lower("name").alias("text")).agg(F.min("id").alias("id"))
+    return con.hash_embed(c, None)
+
+
+def merge_semantic(s, d):
+    """Names of cosine 0.85 or more, each by its least concept; those from 0.75 on go to a judge, who without a model says no."""
+    links = con.cosine_links(_vectors(s, d), 0.85, 0.75)
+    return models.judge(links, concepts(s, d).select("id", "name"))
+
+
+def merge_classes(s, d):
+    """Transitive merge over equal names, edit similarity and cosine links."""
+    return con.merge_similar(concepts(s, d), more=con.cosine_links(_vectors(s, d)))
+
+
+QUERIES = {q.__name__: q for q in (relations_of, properties_of, is_a_proofs, cf_subclass_lost, cf_subclass_gained, cf_relation_holders, cf_concept_effects, describe_inherited, find_paths, symbolic_answers, context_text, merge_semantic, merge_classes)}
 
 _INH = ", inh as (select id, fact, min(dist) dist, arg_min(owner, (dist, owner)) origin from (select u.id, f.fact, f.owner, u.dist from up u join (select distinct {0} as owner, name fact from {1} where {2}) f on f.owner = u.anc) group by 1, 2)"
 _REL, _PROP = (_INH.format("domain", "rel", "domain is not null"), _INH.format("owner", "prop", "owner <> ''").replace("inh as", "pinh as"))
@@ -152,6 +169,9 @@ select g.child, g.parent, coalesce(r.v, '') as gained_relations, coalesce(p.v, '
     "cf_concept_effects": _ALL + f", k as (select parent id, {_LIST.format('id')} v from l where parent is not null group by 1), a as (select id, count(*) n from (select id from l where parent is not null union all select parent from l where parent is not null and parent <> id) group by 1), p as (select owner id, {_LIST.format('name')} v from prop where owner <> '' group by 1) select con.id, coalesce(k.v, '') as orphans, coalesce(a.n, 0) as n_axioms, coalesce(p.v, '') as lost_properties, coalesce(sz.n - 1, 0) as n_descendants from con left join k using (id) left join a using (id) left join p using (id) left join sz using (id)",
     "describe_inherited": _ALL + _REL + _PROP + _RN + _PN + " select con.id, con.name, t.path, coalesce(rn.v, '') as relations, coalesce(pn.v, '') as properties from con join t using (id) left join rn using (id) left join pn using (id)",
     "find_paths": _PATHS,
+    "merge_semantic": _ALL + """, nm as (select lower(name) txt, min(id) id from con where name is not null group by 1), g as (select id, substring(txt, i, 3) g, 1.0::double w from (select id, txt, unnest(range(1, length(txt) - 1)) i from nm) union all select id, substring(txt, i, 2), .5 from (select id, txt, unnest(range(1, length(txt))) i from nm)),
+gs as (select id, g, sum(w) s from g group by 1, 2), gv as (select id, g, round(s / sqrt(sum(s * s) over (partition by id)), 6) w from gs), gp as (select x.id a, y.id b, round(sum(x.w * y.w), 4) c from gv x join gv y on x.g = y.g and x.id < y.id group by 1, 2)
+select a, b, c as cosine, c >= .85 as linked from gp where c >= .75""",
     "symbolic_answers": _ALL + _REL + _PROP + _RN + _PN + f""", q as (select id question_id, lower(max(question)) q, max(category) category from qa_dataset group by 1), nm as (select lower(name) k, min(name) nm, min(id) id from con where length(name) >= 2 group by 1),
 m as (select question_id, nm.id, row_number() over (partition by question_id order by length(nm) desc, nm) r from q join nm on contains(q.q, nm.k)), f as (select question_id, id from m where r = 1), g as (select question_id, id other from m where r = 2),
 x as (select question_id, coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in reason.ROUTES.items())}}}[category], 'describe') route, f.id, g.other from q left join f using (question_id) left join g using (question_id)),
