@@ -155,7 +155,18 @@ def _hop(k: int) -> str:
 
 _PATHS = _ALL + f""", to_ as (select {_HEX} % 97 k, min(range) dst from rel where range is not null group by 1), asked as (select distinct domain src, to_.dst from rel join to_ on to_.k = {_HEX} % 97 where {_HEX} % 100 = 0 and domain is not null and domain <> to_.dst),
 st as {_STEP}, h0 as (select src, dst, src at_, '' path from asked), c0 as (select * from h0)""" + "".join(_hop(k) for k in (1, 2, 3)) + " " + " union all ".join(f"select src, dst, {k} as hops, path from h{k} where at_ = dst" for k in (1, 2, 3))
+#: Links of similar names by dynamic programming over all pairs whose lengths and characters don't rule them out, and the classes that they and further links make.
+_SIMILAR = _ALL + """, sn as (select distinct lower(regexp_replace(name, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) nm from con where name is not null), sc as (select nm, string_split(nm, '') c, list_distinct(string_split(nm, '')) u, length(nm) n from sn where nm <> ''),
+sp as (select x.nm a, y.nm b, x.c ac, y.c bc, x.n + y.n n from sc x join sc y on x.nm < y.nm and 2 * least(x.n, y.n) >= .85 * (x.n + y.n) and len(x.u) + len(y.u) - 2 * len(list_intersect(x.u, y.u)) <= .15 * (x.n + y.n) + 1e-9),
+sl as (select a, b from sp where round(2.0 * (list_reduce(bc, lambda r, ch: list_reduce(range(1, len(ac) + 1), lambda q, j: list_append(q, greatest(q[-1], r[j + 1], r[j] + (ac[j] = ch)::int)), [0]), list_transform(range(len(ac) + 1), lambda z: 0)))[-1] / n, 6) >= .85)"""
+_CLASSES = """, lk as (select a, b from __LINKS__ union select b, a from __LINKS__), re as (select nm a, nm b from sn union select re.a, lk.b from re join lk on lk.a = re.b), cp as (select a nm, min(b) k from re group by 1),
+ids as (select id, lower(regexp_replace(name, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) nm from con where name is not null), least_ as (select k, min(id) c from ids join cp using (nm) group by 1), nl as (select nm, count(*) n from (select a nm from sl union all select b from sl) group by 1)
+select ids.id, least_.c as component, coalesce(nl.n, 0) as n_links from ids join cp using (nm) join least_ using (k) left join nl using (nm)"""
+_COS = """, nm as (select lower(name) txt, min(id) id from con where name is not null group by 1), g as (select id, substring(txt, i, 3) g, 1.0::double w from (select id, txt, unnest(range(1, length(txt) - 1)) i from nm) union all select id, substring(txt, i, 2), .5 from (select id, txt, unnest(range(1, length(txt))) i from nm)),
+gs as (select id, g, sum(w) s from g group by 1, 2), gv as (select id, g, round(s / sqrt(sum(s * s) over (partition by id)), 6) w from gs), gp as (select x.id a, y.id b, round(sum(x.w * y.w), 4) c from gv x join gv y on x.g = y.g and x.id < y.id group by 1, 2)"""
 ORACLE = {
+    "merge_components": _SIMILAR + _CLASSES.replace("__LINKS__", "sl"),
+    "merge_classes": _SIMILAR + _COS + ", im as (select id, lower(regexp_replace(name, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) nm from con where name is not null), al as (select a, b from sl union select x.nm, y.nm from gp join im x on x.id = gp.a join im y on y.id = gp.b where c >= .85 and x.nm <> y.nm)" + _CLASSES.replace("__LINKS__", "al"),
     "relations_of": _ALL + _REL + _TAG + "inh",
     "properties_of": _ALL + _PROP + _TAG + "pinh",
     "is_a_proofs": _ALL + """, q as (select distinct domain child, range parent from rel where domain is not null and range is not null union select id, parent from l where parent is not null union select id, root from t where depth > 0),
@@ -169,9 +180,7 @@ select g.child, g.parent, coalesce(r.v, '') as gained_relations, coalesce(p.v, '
     "cf_concept_effects": _ALL + f", k as (select parent id, {_LIST.format('id')} v from l where parent is not null group by 1), a as (select id, count(*) n from (select id from l where parent is not null union all select parent from l where parent is not null and parent <> id) group by 1), p as (select owner id, {_LIST.format('name')} v from prop where owner <> '' group by 1) select con.id, coalesce(k.v, '') as orphans, coalesce(a.n, 0) as n_axioms, coalesce(p.v, '') as lost_properties, coalesce(sz.n - 1, 0) as n_descendants from con left join k using (id) left join a using (id) left join p using (id) left join sz using (id)",
     "describe_inherited": _ALL + _REL + _PROP + _RN + _PN + " select con.id, con.name, t.path, coalesce(rn.v, '') as relations, coalesce(pn.v, '') as properties from con join t using (id) left join rn using (id) left join pn using (id)",
     "find_paths": _PATHS,
-    "merge_semantic": _ALL + """, nm as (select lower(name) txt, min(id) id from con where name is not null group by 1), g as (select id, substring(txt, i, 3) g, 1.0::double w from (select id, txt, unnest(range(1, length(txt) - 1)) i from nm) union all select id, substring(txt, i, 2), .5 from (select id, txt, unnest(range(1, length(txt))) i from nm)),
-gs as (select id, g, sum(w) s from g group by 1, 2), gv as (select id, g, round(s / sqrt(sum(s * s) over (partition by id)), 6) w from gs), gp as (select x.id a, y.id b, round(sum(x.w * y.w), 4) c from gv x join gv y on x.g = y.g and x.id < y.id group by 1, 2)
-select a, b, c as cosine, c >= .85 as linked from gp where c >= .75""",
+    "merge_semantic": _ALL + _COS + " select a, b, c as cosine, c >= .85 as linked from gp where c >= .75",
     "symbolic_answers": _ALL + _REL + _PROP + _RN + _PN + f""", q as (select id question_id, lower(max(question)) q, max(category) category from qa_dataset group by 1), nm as (select lower(name) k, min(name) nm, min(id) id from con where length(name) >= 2 group by 1),
 m as (select question_id, nm.id, row_number() over (partition by question_id order by length(nm) desc, nm) r from q join nm on contains(q.q, nm.k)), f as (select question_id, id from m where r = 1), g as (select question_id, id other from m where r = 2),
 x as (select question_id, coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in reason.ROUTES.items())}}}[category], 'describe') route, f.id, g.other from q left join f using (question_id) left join g using (question_id)),
