@@ -85,6 +85,25 @@ class Editor:
         return graph.closure(self.tables["axioms"].where("axiom_type = 'subClassOf'").select(F.col("subject").alias("child"), F.col("object").alias("parent")))
 
 
+    def _above(self, ref: str) -> DataFrame:
+        own = self.spark.createDataFrame([(ref, 0)], "ancestor string, distance int")
+        return own.unionByName(self.closure().where(F.col("child") == ref).select("ancestor", "distance"))
+
+    def is_a(self, child: str, parent: str) -> bool:
+        """Whether child is parent or lies below it."""
+        return not self._above(child).where(F.col("ancestor") == parent).isEmpty()
+
+    def relations_of(self, ref: str) -> DataFrame:
+        """(name, range, origin, distance): relations a concept has itself (distance 0) or from above."""
+        r = self.tables["relations"].select(F.col("domain").alias("ancestor"), "name", "range")
+        return self._above(ref).join(r, "ancestor").select("name", "range", F.col("ancestor").alias("origin"), "distance")
+
+    def properties_of(self, ref: str) -> DataFrame:
+        """(name, origin, distance): properties a concept has itself or from above."""
+        p = self.tables["properties"].select(F.col("domain").alias("ancestor"), "name")
+        return self._above(ref).join(p, "ancestor").select("name", F.col("ancestor").alias("origin"), "distance")
+
+
 @dataclass
 class Agent:
     """A role with tools; only curators and validators get those that write."""
@@ -96,7 +115,7 @@ class Agent:
 
     def __post_init__(self) -> None:
         e = self.editor
-        self.tools |= {"read": e.read, "closure": e.closure, "summary": e.summary, "changes": e.changes}
+        self.tools |= {"read": e.read, "closure": e.closure, "summary": e.summary, "changes": e.changes, "is_a": e.is_a, "relations_of": e.relations_of, "properties_of": e.properties_of}
         if self.role in WRITERS:
             self.tools |= {"create": e.create, "update": e.update, "delete": e.delete}
 

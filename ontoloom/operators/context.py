@@ -33,7 +33,8 @@ def surroundings(relevant: DataFrame, closure: DataFrame, below: int = 5, most:
     """(question_id, id, how): relevant concepts, all their ancestors and the `below` nearest descendants of each, `most` per question in this order, ties by id."""
     own = relevant.select("question_id", "id", F.lit(0).alias("how"))
     up = relevant.select("question_id", F.col("id").alias("descendant")).join(closure, "descendant").select("question_id", F.col("ancestor").alias("id"), F.lit(1).alias("how"))
-    near = closure.withColumn("r", F.row_number().over(Window.partitionBy("ancestor").orderBy("distance", "descendant"))).where(F.col("r") <= below)
+    asked = relevant.select(F.col("id").alias("ancestor")).distinct()
+    near = closure.join(asked, "ancestor", "left_semi").withColumn("r", F.row_number().over(Window.partitionBy("ancestor").orderBy("distance", "descendant"))).where(F.col("r") <= below)
     down = relevant.select("question_id", F.col("id").alias("ancestor")).join(near, "ancestor").select("question_id", F.col("descendant").alias("id"), F.lit(2).alias("how"))
     one = own.unionByName(up).unionByName(down).groupBy("question_id", "id").agg(F.min("how").alias("how"))
     r = Window.partitionBy("question_id").orderBy("how", "id")

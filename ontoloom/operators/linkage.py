@@ -14,7 +14,7 @@ CONFIDENCE = {"phone": 0.98, "email": 0.97, "credit_code": 0.99, "id_card": 0.99
 
 def bridge_fields(columns: DataFrame, known: DataFrame) -> DataFrame:
     """(bridge_type, n_systems, fields): columns (system, column_name) that the dictionary (bridge_type, column_name) knows, in two systems or more."""
-    hit = columns.join(F.broadcast(known) if known.isLocal() else known, F.lower(columns.column_name) == known.column_name).select("bridge_type", "system", columns.column_name)
+    hit = columns.join(known, F.lower(columns.column_name) == known.column_name).select("bridge_type", "system", columns.column_name)
     return hit.groupBy("bridge_type").agg(F.count_distinct("system").alias("n_systems"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(".", "system", "column_name"))), "|").alias("fields")).where("n_systems >= 2")
 
 

@@ -116,7 +116,7 @@ def permissions(docs: DataFrame, subjects: DataFrame) -> DataFrame:
         f = _finds(docs, p, 1, 2).select(F.col("g1").alias("subject"), F.col("g2").alias("action"), F.lit(effect).alias("effect"))
         out = f if out is None else out.unionByName(f)
     verbs = F.array_compact(F.array(F.when(F.col("action").rlike("查看|查询|浏览|查"), "read"), F.when(F.col("action").rlike("修改|更新|编辑|改"), "write"), F.when(F.col("action").rlike("删除|移除"), "delete")))
-    known = out.join(F.broadcast(subjects.select(F.col("name").alias("subject")).distinct()) if subjects.isLocal() else subjects.select(F.col("name").alias("subject")).distinct(), "subject", "left_semi")
+    known = out.join(subjects.select(F.col("name").alias("subject")).distinct(), "subject", "left_semi")
     return known.withColumn("actions", F.when(F.size(verbs) == 0, "execute").otherwise(F.array_join(verbs, "|"))).groupBy("subject", "effect", "action", "actions").agg(F.count(F.lit(1)).alias("n"))
 
 

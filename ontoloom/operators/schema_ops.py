@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ontoloom.functions.ids import det_id
 from ontoloom.functions.text import substrings, trim
 
 #: Types of literals, risk of axioms, words of part-of relations.
@@ -61,16 +62,25 @@ def junctions(columns: DataFrame, fks: DataFrame) -> DataFrame:
     return j.select("table_name", F.get("r", F.lit(0)).ref_table.alias("a"), F.get("r", F.lit(1)).ref_table.alias("b"))
 
 
-def reify(relations: DataFrame, names: DataFrame) -> DataFrame:
-    """(relation_id, name, domain, range, cardinality): an N:M relation becomes two 1:N relations by way of a new concept `A_B_Relation`; others and those without both ends stay.  names: id, name."""
+def _split(relations: DataFrame, names: DataFrame) -> DataFrame:
     a, b = names.select(F.col("id").alias("domain"), F.col("name").alias("an")), names.select(F.col("id").alias("range"), F.col("name").alias("bn"))
     j = relations.join(a, "domain", "left").join(b, "range", "left")
-    split = (F.col("cardinality") == "N:M") & F.col("an").isNotNull() & F.col("bn").isNotNull()
     mid = F.concat_ws("_", "an", "bn", F.lit("Relation"))
-    one = F.struct(F.concat("relation_id", F.lit("/1")).alias("relation_id"), F.concat(F.lit("has"), mid).alias("name"), F.col("domain"), mid.alias("range"), F.lit("1:N").alias("cardinality"))
-    two = F.struct(F.concat("relation_id", F.lit("/2")).alias("relation_id"), F.concat(F.lit("refersTo"), F.col("bn")).alias("name"), mid.alias("domain"), F.col("range"), F.lit("1:N").alias("cardinality"))
+    return j.withColumn("split", (F.col("cardinality") == "N:M") & F.col("an").isNotNull() & F.col("bn").isNotNull()).withColumn("mid", mid).withColumn("mid_id", det_id("concept", F.col("mid")))
+
+
+def reify(relations: DataFrame, names: DataFrame) -> DataFrame:
+    """(relation_id, name, domain, range, cardinality): an N:M relation becomes two 1:N relations by way of a new concept `A_B_Relation` (reified_concepts); others and those without both ends stay.  names: id, name."""
+    one = F.struct(F.concat("relation_id", F.lit("/1")).alias("relation_id"), F.concat(F.lit("has"), "mid").alias("name"), F.col("domain"), F.col("mid_id").alias("range"), F.lit("1:N").alias("cardinality"))
+    two = F.struct(F.concat("relation_id", F.lit("/2")).alias("relation_id"), F.concat(F.lit("refersTo"), F.col("bn")).alias("name"), F.col("mid_id").alias("domain"), F.col("range"), F.lit("1:N").alias("cardinality"))
     same = F.struct("relation_id", "name", "domain", "range", "cardinality")
-    return j.select(F.explode(F.when(split, F.array(one, two)).otherwise(F.array(same))).alias("x")).select("x.*")
+    return _split(relations, names).select(F.explode(F.when(F.col("split"), F.array(one, two)).otherwise(F.array(same))).alias("x")).select("x.*")
+
+
+def reified_concepts(relations: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, name, confidence, n_relations): the concepts that reify() puts between the ends of N:M relations."""
+    g = _split(relations, names).where("split").groupBy(F.col("mid_id").alias("id")).agg(F.min("mid").alias("name"), F.count(F.lit(1)).alias("n_relations"))
+    return g.select("id", "name", F.lit(0.8).alias("confidence"), "n_relations")
 
 
 def normalise(relations: DataFrame, synonyms: DataFrame) -> DataFrame:

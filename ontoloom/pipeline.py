@@ -105,7 +105,7 @@ def build_relations(t: Tables) -> Tables:
     rels = ends.select(det_id("rel", F.col("fk_id")).alias("relation_id"), so.relation_name(F.col("ref_table")).alias("name"), "domain", "range", F.lit("1:N").alias("cardinality"), "confidence", F.array().cast("array<string>").alias("aliases"))
     nm = junction_relations(t["columns"], t["fks"], c)
     every = rels.unionByName(nm)
-    return t | {"properties": props, "relations": every, "reified": so.reify(every, t["concepts"].select("id", "name")), "normalised": so.normalise(every, t["relation_synonyms"])}
+    return t | {"properties": props, "relations": every, "reified": so.reify(every, t["concepts"].select("id", "name")), "reified_concepts": so.reified_concepts(every, t["concepts"].select("id", "name")), "normalised": so.normalise(every, t["relation_synonyms"])}
 
 
 def check_consistency(t: Tables) -> Tables:
@@ -149,7 +149,7 @@ def process_all(t: Tables) -> Tables:
     return t | {"atomic_operations": mining.operations(t["docs"]), "query_operations": querylog.operations(t["log"], t["concepts"]), "service_compositions": mining.flows(t["docs"]), "permission_rules": mining.permissions(t["docs"], t["subjects"]), "query_patterns": querylog.crud(t["log"])}
 
 
-OUTPUTS = "concepts taxonomy taxonomy_depths properties relations reified normalised axioms consistency glossary_terms external_mappings semantic_annotations trigger_rules derivations limits atomic_operations query_operations service_compositions permission_rules query_patterns scores".split()
+OUTPUTS = "concepts taxonomy taxonomy_depths properties relations reified reified_concepts normalised axioms consistency glossary_terms external_mappings semantic_annotations trigger_rules derivations limits atomic_operations query_operations service_compositions permission_rules query_patterns scores".split()
 #: Stages by number; consistency is checked with the axioms.
 STAGES = {2: extract_concepts, 3: build_taxonomy, 4: build_relations, 5: lambda t: check_consistency(build_axioms(t)), 6: enrich_all, 7: process_all}
 

@@ -424,6 +424,7 @@ QUERIES = {
     "fk_filter": fk_filter,
     "fk_relations": lambda s, d: s.createDataFrame(FKS, "table_name string, fk_column string, ref_table string").select("table_name", "fk_column", so.relation_name(F.col("ref_table")).alias("relation_name")),
     "junction_detect": lambda s, d: so.junctions(s.createDataFrame(COLUMNS, "table_name string, column_name string, is_primary_key boolean"), s.createDataFrame(FKS, "table_name string, fk_column string, ref_table string")),
+    "reified_concepts": lambda s, d: so.reified_concepts(relations(s, d), concepts(s, d).select("id", "name")),
     "reify_m2m": lambda s, d: so.reify(relations(s, d), concepts(s, d).select("id", "name")),
     "rel_normalize": lambda s, d: so.normalise(relations(s, d), s.createDataFrame(SYNONYMS, "alias string, standard string")),
     "m2m_cardinality": lambda s, d: so.cardinality(table(s, d, "lineitem").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))),
@@ -493,7 +494,8 @@ select relation_id, domain_ok, range_ok, case when domain_ok and range_ok then 1
     "fk_filter": _FK,
     "fk_relations": f"select t as table_name, c as fk_column, 'has' || upper(substring(r, 1, 1)) || lower(substring(r, 2)) as relation_name from {_values(FKS)} v(t, c, r)",
     "junction_detect": f"with c as (select * from {_values(COLUMNS)} v(t, c, pk)), f as (select * from {_values(FKS)} v(t, c, r)), g as (select t, list(r order by c, r) r, bool_and((t, c) in (select (t, c) from c where pk)) inpk from f group by t having count(*) = 2) select t as table_name, r[1] as a, r[2] as b from g where inpk or (select count(*) from c where c.t = g.t) <= 3",
-    "reify_m2m": _BASE + ", j as (select rel.*, a.name an, b.name bn from rel left join con a on a.id = rel.domain left join con b on b.id = rel.range), s as (select *, cardinality = 'N:M' and an is not null and bn is not null split, an || '_' || bn || '_Relation' mid from j) select relation_id, name, domain, range, cardinality from s where split is not true union all select relation_id || '/1', 'has' || mid, domain, mid, '1:N' from s where split union all select relation_id || '/2', 'refersTo' || bn, mid, range, '1:N' from s where split",
+    "reify_m2m": _BASE + ", j as (select rel.*, a.name an, b.name bn from rel left join con a on a.id = rel.domain left join con b on b.id = rel.range), s as (select *, cardinality = 'N:M' and an is not null and bn is not null split, an || '_' || bn || '_Relation' mid from j), m as (select *, 'concept_' || substring(sha256(mid), 1, 8) mi from s) select relation_id, name, domain, range, cardinality from m where split is not true union all select relation_id || '/1', 'has' || mid, domain, mi, '1:N' from m where split union all select relation_id || '/2', 'refersTo' || bn, mi, range, '1:N' from m where split",
+    "reified_concepts": _BASE + "select 'concept_' || substring(sha256(mid), 1, 8) as id, min(mid) as name, .8::double as confidence, count(*) as n_relations from (select a.name || '_' || b.name || '_Relation' mid from rel join con a on a.id = rel.domain join con b on b.id = rel.range where cardinality = 'N:M') where mid is not null group by 1",
     "rel_normalize": _BASE + f", y as (select * from {_values(SYNONYMS)} v(alias, standard)), j as (select coalesce(standard, rel.name) std, rel.domain, rel.range, confidence, list_concat(aliases, case when coalesce(standard, rel.name) <> rel.name then [rel.name] else [] end) al from rel left join y on y.alias = lower(rel.name)) select std as name, domain, range, max(confidence) as confidence, array_to_string(list_sort(list_distinct(flatten(list(al)))), '|') as aliases, count(*) as n from j group by 1, 2, 3",
     "m2m_cardinality": "with p as (select distinct l_partkey a, l_suppkey b from lineitem), x as (select max(n) x from (select count(*) n from p group by a)), y as (select max(n) y from (select count(*) n from p group by b)) select x as max_b_per_a, y as max_a_per_b, case when y > 1 then 'N' else '1' end || ':' || case when x > 1 then case when y > 1 then 'M' else 'N' end else '1' end as cardinality from x, y",
     "fk_inclusion": "select 'lineitem.l_orderkey' as fk, 'orders' as ref_table, count(distinct l_orderkey) as n_keys, count(distinct case when l_orderkey not in (select o_orderkey from orders) then l_orderkey end) as n_missing from lineitem union all select 'lineitem.l_partkey', 'part', count(distinct l_partkey), count(distinct case when l_partkey not in (select p_partkey from part) then l_partkey end) from lineitem union all select 'orders.o_custkey', 'customer', count(distinct o_custkey), count(distinct case when o_custkey not in (select c_custkey from customer) then o_custkey end) from orders",

@@ -4,6 +4,7 @@ import random
 from datetime import datetime as D
 
 from ontoloom import session
+from ontoloom.editing import Editor, Team
 from ontoloom.operators import concepts, graph, hierarchy, models, reason
 from ontoloom.operators import schema_ops as so
 
@@ -108,3 +109,24 @@ def test_covering_and_dispatch(spark):
     m = spark.createDataFrame([("q1", 1, "b"), ("q1", 2, "a"), ("q3", 1, "b"), ("q4", 1, "a"), ("q4", 2, "b")], "question_id string, rank int, id string")
     lists = {"relations": spark.createDataFrame([("b", "r1|r2")], "id string, answer string")}
     assert {tuple(x) for x in reason.dispatch(q, m, sets, lists).collect()} == {("q1", "is_a", "b", "是"), ("q2", "describe", None, None), ("q3", "relations", "b", "r1|r2"), ("q4", "is_a", "a", "否")}
+
+
+def test_agents_read_what_is_inherited_and_edits_are_saved(spark, tmp_path):
+    t = {"concepts": spark.createDataFrame([("a", "甲"), ("b", "乙")], "id string, name string"), "properties": spark.createDataFrame([("p1", "a", "价")], "id string, domain string, name string"), "relations": spark.createDataFrame([("r1", "has", "a", "b")], "id string, name string, domain string, range string"), "axioms": spark.createDataFrame([("x", "subClassOf", "b", "a", 1.0)], "id string, axiom_type string, subject string, object string, confidence double")}
+    e = Editor(spark, t)
+    reader = Team(e).add("r", "reasoner")
+    assert reader.use("is_a", "b", "a") and not reader.use("is_a", "a", "b")
+    assert [tuple(x) for x in reader.use("relations_of", "b").collect()] == [("has", "b", "a", 1)]
+    assert [tuple(x) for x in reader.use("properties_of", "a").collect()] == [("价", "a", 0)]
+    e.delete("concepts", "a")
+    e.save(str(tmp_path / "o"))
+    assert spark.read.parquet(str(tmp_path / "o/relations")).count() == 0 and spark.read.parquet(str(tmp_path / "o/change_log")).count() == 1
+
+
+def test_reified_relations_keep_their_links(spark):
+    rel = spark.createDataFrame([("r1", "m", "a", "b", "N:M"), ("r2", "m", "a", "b", "N:M"), ("r3", "k", "a", None, "N:M"), ("r4", "k", "a", "b", "1:N")], "relation_id string, name string, domain string, range string, cardinality string")
+    names = spark.createDataFrame([("a", "甲"), ("b", "乙")], "id string, name string")
+    out = so.reify(rel, names).collect()
+    made = so.reified_concepts(rel, names).collect()
+    known = {"a", "b", None} | {x.id for x in made}
+    assert len(out) == 6 and [(x.name, x.n_relations) for x in made] == [("甲_乙_Relation", 2)] and all(x.domain in known and x.range in known for x in out)
