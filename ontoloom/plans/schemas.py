@@ -251,7 +251,7 @@ def generated_rules(s, d):
     """(rule_id, problem) of the rules made from all questions."""
     q = table(s, d, "qa_dataset").groupBy("id").agg(F.max("question").alias("text")).select(F.col("id").alias("rule_id"), "text")
     parts = cut(so.split_rule(q))
-    atoms = so.generate_rules(parts, so.bind(parts, concepts(s, d)))
+    atoms = so.generate_rules(parts, cut(so.bind(parts, concepts(s, d))))
     return so.validate_rules(atoms, q.where("text is not null").select("rule_id"), concepts(s, d).select("name"), properties(s, d).select("name"))
 
 

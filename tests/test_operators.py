@@ -218,3 +218,19 @@ def test_complete_comments(spark):
     known = spark.createDataFrame([("b", "客户编号"), ("c", "城市名称")], "column_name string, comment string")
     got = {r.column_name: (r.comment, r.confidence) for r in mining.complete_comments(cols, guess, known).collect()}
     assert got == {"a": ("given", 1.0), "b": ("客户编号", 0.9), "c": ("金额", 0.3), "d": ("备注", 0.6), "e": ("", 0.0)}
+
+
+def test_substrings_are_those_that_names_may_be(spark):
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("ab订单客户𝕏") for _ in range(n))
+    names = sorted({word(r.randrange(1, 61)) for _ in range(300)} | {word(2) for _ in range(20)})
+    texts = {i: "".join(r.choice([word(r.randrange(1, 9)), r.choice(names).upper()]) for _ in range(r.randrange(0, 9))) for i in range(60)}
+    rows = spark.createDataFrame([*texts.items(), (99, None)], "id int, text string")
+    got = tx.substrings(rows, "text", spark.createDataFrame([(n,) for n in [*names, ""]], "k string")).collect()
+    pairs = [(x.id, x.k) for x in got]
+    want = {(i, n) for i, t in texts.items() for n in names if n in t.lower()}
+    assert len(pairs) == len(set(pairs)) and want <= set(pairs) and all(x.text == texts[x.id] and x.k in x.text.lower() for x in got)
+    every = sum(len({t.lower()[i : i + n] for i in range(len(t) - n + 1)}) for t in texts.values() for n in {len(n) for n in names})
+    assert len(pairs) - len(want) < every / 50  # not all substrings of the lengths that names have
+    assert tx.substrings(rows, "text", spark.createDataFrame([], "k string")).count() == 0
+    assert tx.substrings(rows.limit(0), "text", rows.select(F.col("text").alias("k"))).count() == 0
