@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ontoloom.functions.text import ngrams, substrings, trim
+from ontoloom.session import cut
 
 
 def resolve(refs: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -166,15 +167,15 @@ def describe(concepts: DataFrame, sets: DataFrame, properties: DataFrame, relati
 
 def mentioned(questions: DataFrame, concepts: DataFrame, most: int = 2) -> DataFrame:
     """(question_id, rank, id): the `most` longest concept names of each question, ties by name; of equal names the least id.  concepts: id, name."""
-    n = concepts.select(F.lower("name").alias("k"), "name", "id").where("length(name) >= 2").groupBy("k").agg(F.min("name").alias("name"), F.min("id").alias("id"))
-    hit = substrings(questions.select("question_id", "question"), "question", n).join(n, "k")
+    n = cut(concepts.select(F.lower("name").alias("k"), "name", "id").where("length(name) >= 2").groupBy("k").agg(F.min("name").alias("name"), F.min("id").alias("id")))
+    hit = substrings(questions.select("question_id", "question"), "question", n).select("question_id", "k").join(n, "k")
     w = Window.partitionBy("question_id").orderBy(F.desc(F.length("name")), "name")
     return hit.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("question_id", "rank", "id")
 
 
 def mentions(questions: DataFrame, concepts: DataFrame) -> DataFrame:
     """(question_id, name): the longest concept name in each question, ties to the least; substrings are joined on equality, not compared pairwise."""
-    names = concepts.select(F.lower("name").alias("k"), "name").where("length(name) >= 2").groupBy("k").agg(F.min("name").alias("name"))
-    rows = substrings(questions.select("question_id", "question"), "question", names)
+    names = cut(concepts.select(F.lower("name").alias("k"), "name").where("length(name) >= 2").groupBy("k").agg(F.min("name").alias("name")))
+    rows = substrings(questions.select("question_id", "question"), "question", names).select("question_id", "k")
     j = rows.join(names, "k")
     return j.groupBy("question_id").agg(F.min_by("name", F.struct(-F.length("name"), F.col("name"))).alias("name"))

@@ -234,3 +234,22 @@ def test_substrings_are_those_that_names_may_be(spark):
     assert len(pairs) - len(want) < every / 50  # not all substrings of the lengths that names have
     assert tx.substrings(rows, "text", spark.createDataFrame([], "k string")).count() == 0
     assert tx.substrings(rows.limit(0), "text", rows.select(F.col("text").alias("k"))).count() == 0
+
+
+def counted(spark, rows, schema):
+    """A table and the accumulator of how many of its rows were made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    return spark.createDataFrame(rows, schema).mapInArrow(run, schema), made
+
+
+def test_mentions_make_the_names_once(spark):
+    names, made = counted(spark, [("手机",), ("智能手机",), ("x" * 60,)], "name string")
+    q = spark.createDataFrame([(1, "智能手机和手机"), (2, "X" * 70), (3, None)], "question_id int, question string")
+    assert {tuple(r) for r in reason.mentions(q, names).collect()} == {(1, "智能手机"), (2, "x" * 60)}
+    assert made.value == 3
