@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ontoloom.functions.ids import det_id
 from ontoloom.functions.text import substrings, trim
+from ontoloom.session import cut
 
 #: Types of literals, risk of axioms, words of part-of relations.
 LITERALS = "int integer bigint smallint float double decimal string varchar text date datetime bool boolean".split()
@@ -128,9 +129,9 @@ def split_rule(rules: DataFrame) -> DataFrame:
 
 
 def bind(atoms: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(rule_id, pos, concept): of the concepts whose name a condition contains, the first by name.  The join is on the text's substrings of the lengths that names have."""
-    names = concepts.select("name").where("length(name) >= 2").distinct().withColumn("k", F.lower("name"))
-    hits = substrings(atoms.where("kind != 'conclusion'").select("rule_id", "pos", "text"), "text", names)
+    """(rule_id, pos, concept): of the concepts whose name a condition contains, the first by name.  The join is on the text's substrings that may be names (text.substrings)."""
+    names = cut(concepts.select("name").where("length(name) >= 2").distinct().withColumn("k", F.lower("name")))
+    hits = substrings(atoms.where("kind != 'conclusion'").select("rule_id", "pos", "text"), "text", names).select("rule_id", "pos", "k")
     return hits.join(names, "k").groupBy("rule_id", "pos").agg(F.min("name").alias("concept"))
 
 

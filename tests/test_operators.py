@@ -253,3 +253,10 @@ def test_mentions_make_the_names_once(spark):
     q = spark.createDataFrame([(1, "智能手机和手机"), (2, "X" * 70), (3, None)], "question_id int, question string")
     assert {tuple(r) for r in reason.mentions(q, names).collect()} == {(1, "智能手机"), (2, "x" * 60)}
     assert made.value == 3
+
+
+def test_bindings_make_the_names_once(spark):
+    names, made = counted(spark, [("订单",), ("VIP客户",), ("vip客户",), ("单",)], "name string")
+    rules = spark.createDataFrame([(1, "如果VIP客户且订单>3，就打折"), (2, None), (3, "订单单号")], "rule_id int, text string")
+    assert {tuple(r) for r in so.bind(so.split_rule(rules), names).collect()} == {(1, 0, "VIP客户"), (1, 1, "订单"), (3, 0, "订单")}
+    assert made.value == 4
