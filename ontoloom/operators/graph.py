@@ -9,9 +9,12 @@ from ontoloom.operators import hierarchy
 from ontoloom.session import cut, discard
 
 
-def tree_closure(nodes: DataFrame) -> DataFrame:
-    """(descendant, ancestor, distance) of a taxonomy's tree nodes, the node itself left out: their paths exploded, so the work is the size of the result."""
-    p = hierarchy.shared_ways(nodes).select(F.col("concept_id").alias("descendant"), F.reverse("way").alias("way"))
+def tree_closure(nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(descendant, ancestor, distance) of a taxonomy's tree nodes, or of those in `of` (id), the node itself left out: their paths exploded, so the work is the size of the result."""
+    ways = hierarchy.shared_ways(nodes)
+    if of is not None:
+        ways = ways.join(of.select(F.col("id").alias("concept_id")), "concept_id", "left_semi")
+    p = ways.select(F.col("concept_id").alias("descendant"), F.reverse("way").alias("way"))
     return p.select("descendant", F.posexplode("way").alias("distance", "ancestor")).where("distance > 0").select("descendant", "ancestor", "distance")
 
 

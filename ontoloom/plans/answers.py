@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ontoloom.operators import concepts as con
 from ontoloom.operators import context, graph, hierarchy, models, reason
 from ontoloom.plans.reasoning import _ALL, _SLICE, _facts_prop, _facts_rel, _sets, concepts, properties, relations, relevant_slice
-from ontoloom.session import once, table
+from ontoloom.session import cut, once, table
 
 
 def _nodes(s, d):
@@ -95,12 +95,22 @@ def find_paths(s, d):
 
 
 def symbolic_answers(s, d):
-    """All questions routed by category and answered from the concepts they mention."""
+    """All questions routed by category and answered from the concepts they mention; only for these are ancestors and inherited facts looked up."""
     q = table(s, d, "qa_dataset").groupBy(F.col("id").alias("question_id")).agg(F.max("question").alias("question"), F.max("category").alias("category"))
-    m = reason.mentioned(q, concepts(s, d).select("id", "name"))
-    rel = reason.names(_inherited(s, d, "relations"), "id", "fact", "answer")
-    derived = properties(s, d).where("formula is not null and trim(formula) != '' and owner is not null").select(F.col("owner").alias("id"), F.concat_ws("=", "name", "formula").alias("fact"))
-    describe = describe_inherited(s, d).select("id", F.concat_ws("; ", "path", "relations", "properties").alias("answer"))
+    c = concepts(s, d).select("id", "name")
+    m = cut(reason.mentioned(q, c))
+    asked = cut(m.where("rank = 1").select("id").distinct())
+    known = asked.join(c, "id", "left_semi")
+    ways = hierarchy.shared_ways(_nodes(s, d)).withColumnRenamed("concept_id", "id").join(known, "id", "left_semi")
+    closure = graph.tree_closure(_nodes(s, d), asked)
+    tree = _sets(s, d).select(F.col("concept_id").alias("id")).join(asked, "id", "left_semi")
+    owned = cut(properties(s, d).select("owner", "name", "formula").where("owner is not null"))
+    rel = cut(reason.names(reason.inherited(closure, _facts_rel(s, d), tree), "id", "fact", "answer"))
+    prop = reason.names(reason.inherited(closure, owned.select("owner", F.col("name").alias("fact")), tree), "id", "fact", "properties")
+    derived = owned.where("formula is not null and trim(formula) != ''").select(F.col("owner").alias("id"), F.concat_ws("=", "name", "formula").alias("fact")).join(asked, "id", "left_semi")
+    described = ways.select("id", F.array_join("way", "/").alias("path")).join(rel.withColumnRenamed("answer", "relations"), "id", "left").join(prop, "id", "left")
+    e = lambda x: F.coalesce(x, F.lit(""))
+    describe = described.select("id", F.concat_ws("; ", "path", e("relations"), e("properties")).alias("answer"))
     return reason.dispatch(q, m, _sets(s, d), {"relations": rel, "derived": reason.names(derived, "id", "fact", "answer"), "describe": describe})
 
 

@@ -130,3 +130,10 @@ def test_reified_relations_keep_their_links(spark):
     made = so.reified_concepts(rel, names).collect()
     known = {"a", "b", None} | {x.id for x in made}
     assert len(out) == 6 and [(x.name, x.n_relations) for x in made] == [("甲_乙_Relation", 2)] and all(x.domain in known and x.range in known for x in out)
+
+
+def test_closure_of_asked_nodes_only(spark):
+    parent = {"a": None, "b": "a", "c": "b", "d": "a", "e": "c"}
+    nodes = spark.createDataFrame([(c, p, D(2024, 1, 1)) for c, p in parent.items()], "concept_id string, parent_id string, updated_at timestamp_ntz")
+    got = graph.tree_closure(nodes, spark.createDataFrame([("c",), ("a",), ("none",)], "id string"))
+    assert {tuple(x) for x in got.collect()} == {("c", "b", 1), ("c", "a", 2)}
