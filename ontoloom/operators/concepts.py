@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from zlib import crc32
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ontoloom.functions.text import indel, ngrams, substrings, trim
+from ontoloom.functions.text import lcs_length, ngrams, substrings, trim
 from ontoloom.operators.graph import components
 from ontoloom.session import cut
 
@@ -51,88 +50,145 @@ def merge_exact(concepts: DataFrame) -> DataFrame:
     return concepts.where("name is not null").withColumn("k", k).join(g, "k").select("component", "id")
 
 
-#: Longest names that are compared by segments; their keys grow with the cube of the length.
-SEGMENTED = 48
-
-
-def segment_keys(name: str, threshold: float) -> tuple[set[int], set[int]]:
-    """Hashed keys (own, sought) such that of two names of at most SEGMENTED characters whose InDel ratio reaches the threshold, an own key of the shorter is a sought one of the longer.
-
-    Lengths n and m leave some number of insertions and deletions; each touches one segment at most, so cut into one
-    segment more than that the shorter has one that stands unaltered in the longer, shifted by the insertions before it
-    at most to the right and by the deletions to the left."""
-    own: set[int] = set()
-    sought: set[int] = set()
-
-    def edits(n: int, m: int) -> int:
-        most = int((1 - threshold) * (n + m) + 1e-9)
-        return most - (most - (m - n)) % 2
-
-    def segments(n: int, d: int):
-        at = 0
-        for i in range(d + 1):
-            size = n // (d + 1) + (i >= d + 1 - n % (d + 1))
-            yield i, at, size
-            at += size
-
-    size = len(name)
-    raw = name.encode("utf-32-le", "surrogatepass")
-    head = lambda n, d, i: (n * 64 + d) * 64 + i
-    for d in {edits(size, m) for m in range(size, int(size * (2 - threshold) / threshold + 1e-9) + 1) if m - size <= edits(size, m) < size}:
-        own |= {head(size, d, i) << 32 | crc32(raw[4 * p : 4 * (p + k)]) for i, p, k in segments(size, d)}
-    for n in range(max(1, int(size * threshold / (2 - threshold))), size + 1):
-        d = edits(n, size)
-        if size - n <= d < n:
-            right, left = (d + size - n) // 2, (d - size + n) // 2
-            for i, p, k in segments(n, d):
-                h = head(n, d, i) << 32
-                sought |= {h | crc32(raw[4 * q : 4 * (q + k)]) for q in range(max(0, p - left), min(size - k, p + right) + 1)}
-    return own, sought
-
-
-def similar_names(names: DataFrame, threshold: float = 0.85) -> DataFrame:
+#: Counters of token frequency that are broadcast, whatever the number of tokens.
+COUNTERS = 1 << 16
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _tokens(name: str) -> np.ndarray:
+    """A name's characters, numbered where they recur, each as one number."""
+    seen: dict[str, int] = {}
+    out = np.empty(len(name), np.uint64)
+    for i, ch in enumerate(name):
+        seen[ch] = k = seen.get(ch, -1) + 1
+        out[i] = ord(ch) << 32 | k
+    return out
+
+
+def _counter(tokens: np.ndarray) -> np.ndarray:
+    return (tokens * _MIX >> np.uint64(48)).astype(np.int64)
+
+
+def _signatures(tokens: list[np.ndarray]) -> np.ndarray:
+    """Two words for each set of tokens: the parities of how many fall on each of 128 bits, so sets differ in as many tokens as bits at least."""
+    n = np.array([len(t) for t in tokens], np.int64)
+    h = np.concatenate([*tokens, np.zeros(0, np.uint64)]) * np.uint64(0xC2B2AE3D27D4EB4F)
+    bits = (h ^ h >> np.uint64(29)) * _MIX >> np.uint64(57)
+    out = np.zeros((2, len(n)), np.uint64)
+    for word in (0, 1):
+        one = np.where(bits >> np.uint64(6) == word, np.uint64(1) << (bits & np.uint64(63)), np.uint64(0))
+        if len(one):
+            out[word][n > 0] = np.bitwise_xor.reduceat(one, (np.cumsum(n) - n)[n > 0])
+    return out
+
+
+def _edits(threshold: float, size: int) -> int:
+    """Most insertions and deletions between two names of together size characters."""
+    return int((1 - threshold) * size + 1e-9)
+
+
+@cache
+def _head(threshold: float, n: int) -> int:
+    """How many of the rarest tokens of a name of n characters hold the rarest one that it shares with any similar name."""
+    low, high = math.ceil(n * threshold / (2 - threshold) - 1e-9), int(n * (2 - threshold) / threshold + 1e-9)
+    return n + 1 - min(-(-(n + m - _edits(threshold, n + m)) // 2) for m in range(low, high + 1))
+
+
+def _counts(keyed: DataFrame) -> np.ndarray:
+    """Sums of n by counter k of (k, n)."""
+    got = keyed.groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int64)
+    out[got["k"].to_numpy()] = got["n"].to_numpy()
+    return out
+
+
+def _counted(batches: Iterator[pa.RecordBatch], keys: Callable[[str], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = np.bincount(np.concatenate([*map(keys, b.column(0).to_pylist()), np.zeros(0, np.int64)]), minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n)), pa.array(n[n > 0])], names=["k", "n"])
+
+
+def _near(names: list[str], key: int, counts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, ratio) of similar names whose rarest common token is key."""
+    order = sorted(range(len(names)), key=lambda i: len(names[i]))
+    tokens = [_tokens(names[i]) for i in order]
+    mine = (int(counts[_counter(np.array([key], np.uint64))[0]]), key)
+    rarer = cache(lambda i: {t for c, t in zip(counts[_counter(tokens[i])].tolist(), tokens[i].tolist()) if (c, t) < mine})
+    sig, size = _signatures(tokens), np.array([len(x) for x in tokens])
+    sizes, first = np.unique(size, return_index=True)
+    end = [*first[1:].tolist(), len(size)]
+    for p, n in enumerate(sizes.tolist()):
+        for q in range(p, len(sizes)):
+            m = int(sizes[q])
+            d = _edits(threshold, n + m)
+            if m - n > d:
+                break
+            for i in range(int(first[p]), end[p], 64):
+                x = slice(i, min(i + 64, end[p]))
+                for j in range(int(first[q]) if q > p else i, end[q], 4096):
+                    y = slice(j, min(j + 4096, end[q]))
+                    u, v = np.nonzero(np.bitwise_count(sig[0][x, None] ^ sig[0][None, y]) <= d)
+                    u, v = u + i, v + j
+                    keep = (u < v) & (np.bitwise_count(sig[0][u] ^ sig[0][v]) + np.bitwise_count(sig[1][u] ^ sig[1][v]) <= d)
+                    for k, l in zip(u[keep].tolist(), v[keep].tolist()):
+                        if rarer(k).isdisjoint(rarer(l)):
+                            a, b = names[order[k]], names[order[l]]
+                            lcs = lcs_length(a, b)
+                            if n + m - 2 * lcs <= d:
+                                yield order[k], order[l], 2 * lcs / (n + m)
+
+
+def _forest(links: Iterable[tuple[int, int, float]], n: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """How many links each of n members has, and as few of the links as join the same."""
+    count, up, kept = np.zeros(n, np.int64), list(range(n)), []
+    for i, j, _ in links:
+        count[i] += 1
+        count[j] += 1
+        a, b = i, j
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a != b:
+            up[a] = b
+            kept.append((i, j))
+    return count, kept
+
+
+def similar_names(names: DataFrame, threshold: float = 0.85, summed: bool = False) -> DataFrame:
     """(a, b, ratio): links between different names of InDel ratio of threshold or more; names: name, distinct.
 
-    Names of up to SEGMENTED characters meet on an unaltered segment (segment_keys).  Longer ones share one of the rarest
-    bigrams that fill a prefix of the size that their edits may break, near the same place, and their lengths are near.
-    Of the pairs so found those with too many characters that only one has are dropped, the rest verified.  Names of one
-    character equal only themselves."""
+    An insertion or deletion changes one of a name's characters (numbered where they recur), so of similar names the
+    rarest common one is among the few rarest of either (_head).  Names meet there, once, and are compared by signatures
+    first; what these don't tell apart is verified.  Nothing but a name per rare character is shuffled.  summed: (a, b, n)
+    instead, with as many of the links as join the same names, b null in rows that give how many links (n) of a name
+    were found at one place; pairs then never leave the task that finds them."""
+    t = names.where("name != ''").select("name")
+    counts = _counts(t.mapInArrow(lambda batches: _counted(batches, lambda x: _counter(_tokens(x))), "k bigint, n bigint"))
+    shared = names.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [segment_keys(x, threshold) for x in b.column(0).to_pylist()]
-            for side in (0, 1):
-                n = np.array([len(g[side]) for g in got], np.int64)
-                keys = np.fromiter((k for g in got for k in g[side]), np.int64, int(n.sum()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(got)), n))), pa.array(keys), pa.array(np.full(len(keys), side, np.int32))], names=["name", "k", "side"])
-
-    t = cut(names.where(F.length("name").between(2, SEGMENTED)).select("name").mapInArrow(run, "name string, k bigint, side int"))
-    x, y = t.where("side = 0").select("k", F.col("name").alias("x")), t.where("side = 1").select("k", F.col("name").alias("y"))
-    near = x.join(y, "k").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    long = _long_pairs(names.where(F.length("name") > int(SEGMENTED * threshold / (2 - threshold))), threshold)
-    pairs = cut(near.unionByName(long).distinct())
-
-    @F.pandas_udf("double")
-    def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        most = 1 - threshold
-        return pd.Series([indel(p, q) if len(set(p) ^ set(q)) <= most * (len(p) + len(q)) + 1e-9 else 0.0 for p, q in zip(x, y)], dtype="float64")
-
-    return pairs.withColumn("ratio", F.round(ratio("a", "b"), 6)).where(F.col("ratio") >= threshold)
-
-
-def _long_pairs(names: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): candidates of names one of which has over SEGMENTED characters, by a prefix filter over rare bigrams."""
-    grams = names.select("name", F.length("name").alias("n"), F.posexplode(ngrams(F.col("name"), 2)).alias("pos", "g"))
-    numbered = grams.withColumn("k", F.row_number().over(Window.partitionBy("name", "g").orderBy("pos"))).withColumn("g", F.concat_ws("#", "g", "k"))
-    freq = numbered.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ranked = numbered.join(freq, "g").withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("df", "g")))
-    # with d = |a| + |b| - 2 LCS edits, each edit breaks at most two bigrams; d is at most (1 - t) (|a| + |b|) and |b| at most |a| (2 - t) / t
-    edits = F.floor((1 - threshold) * F.col("n") * (1 + (2 - threshold) / threshold) + 1e-9)
-    prefix = cut(ranked.where(F.col("r") <= 2 * edits + 1).select("name", "n", "g", "pos"))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = (F.col("x.g") == F.col("y.g")) & (F.col("x.name") < F.col("y.name")) & (F.greatest("x.n", "y.n") > SEGMENTED) & (2 * F.least("x.n", "y.n") >= threshold * (F.col("x.n") + F.col("y.n")))
-    shift = F.abs(F.col("x.pos") - F.col("y.pos")) <= (1 - threshold) * (F.col("x.n") + F.col("y.n")) + 1e-9
-    return x.join(y, near & shift).select(F.col("x.name").alias("a"), F.col("y.name").alias("b")).distinct()
+            idx, keys = [], []
+            for i, x in enumerate(b.column(0).to_pylist()):
+                k = _tokens(x)
+                head = k[np.lexsort((k, shared.value[_counter(k)]))][: _head(threshold, len(x))]
+                idx.append(np.full(len(head), i))
+                keys.append(head)
+            if idx:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), b.column(0).take(pa.array(np.concatenate(idx)))], names=["k", "name"])
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        x = group["name"].to_pylist()
+        near = _near(x, key[0].as_py(), shared.value, threshold)
+        if not summed:
+            found = [(min(x[i], x[j]), max(x[i], x[j]), round(r, 6)) for i, j, r in near]
+            return pa.table({k: pa.array([f[c] for f in found], kind) for c, (k, kind) in enumerate((("a", pa.string()), ("b", pa.string()), ("ratio", pa.float64())))})
+        count, kept = _forest(near, len(x))
+        some = np.flatnonzero(count).tolist()
+        return pa.table({"a": pa.array([x[i] for i in some] + [x[i] for i, _ in kept], pa.string()), "b": pa.array([None] * len(some) + [x[j] for _, j in kept], pa.string()), "n": pa.array([*count[some].tolist(), *[0] * len(kept)], pa.int64())})
+
+    return t.mapInArrow(spread, "k bigint, name string").groupBy("k").applyInArrow(meet, "a string, b string, " + ("n bigint" if summed else "ratio double"))
 
 
 def cosine_links(vectors: DataFrame, threshold: float = 0.85, judge_from: float | None = None) -> DataFrame:
@@ -156,14 +212,14 @@ def merge_similar(concepts: DataFrame, threshold: float = 0.85, more: DataFrame
     """(id, component, n_links): classes of concepts joined by equal or similar names, and by the links `more` (a, b: ids) of vectors or a judge, transitively; n_links counts the similar names of the concept's own."""
     named = concepts.where("name is not null").select("id", F.lower(trim("name")).alias("name"))
     names = cut(named.select("name").distinct())
-    links = cut(similar_names(names, threshold).select("a", "b"))
-    every = links
+    links = cut(similar_names(names, threshold, summed=True))
+    every = links.where("b is not null").select("a", "b")
     if more is not None:
         by_id = more.select("a", "b").join(named.select(F.col("id").alias("a"), F.col("name").alias("x")), "a").join(named.select(F.col("id").alias("b"), F.col("name").alias("y")), "b")
-        every = links.unionByName(by_id.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
+        every = every.unionByName(by_id.where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
     comp = components(names.withColumnRenamed("name", "id"), every).withColumnRenamed("id", "name")
     least = named.join(comp, "name").groupBy("component").agg(F.min("id").alias("c"))
-    n = links.select(F.col("a").alias("name")).unionByName(links.select(F.col("b").alias("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
+    n = links.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("n").alias("n_links"))
     return named.join(comp, "name").join(least, "component").join(n, "name", "left").select("id", F.col("c").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 

@@ -260,3 +260,11 @@ def test_bindings_make_the_names_once(spark):
     rules = spark.createDataFrame([(1, "如果VIP客户且订单>3，就打折"), (2, None), (3, "订单单号")], "rule_id int, text string")
     assert {tuple(r) for r in so.bind(so.split_rule(rules), names).collect()} == {(1, 0, "VIP客户"), (1, 1, "订单"), (3, 0, "订单")}
     assert made.value == 4
+
+
+def test_pairs_of_similar_names_stay_in_their_task(spark):
+    """A clique of n names makes n - 1 links for their class and a count for each, not a row for each pair."""
+    names = ["订单编号甲乙丙丁戊己庚辛" + c for c in "天地玄黄宇宙洪荒日月盈昃辰宿列张"] + ["wholly_different"]
+    t = concepts.similar_names(spark.createDataFrame([(n,) for n in names], "name string"), 0.85, summed=True).collect()
+    assert sum(x.b is not None for x in t) == 15 and len(t) == 31
+    assert {x.a: x.n for x in t if x.b is None} == {n: 15 for n in names[:-1]}
