@@ -208,6 +208,82 @@ def cosine_links(vectors: DataFrame, threshold: float = 0.85, judge_from: float
     return c.where(F.col("cosine") >= least)
 
 
+def _grams(text: str) -> dict[int, float]:
+    """hash_embed's vector of a text by gram, grams as numbers."""
+    c = [ord(x) + 1 for x in text]
+    s: dict[int, float] = {}
+    for i in range(len(c) - 1):
+        k = c[i] << 42 | c[i + 1] << 21
+        s[k] = s.get(k, 0.0) + 0.5
+        if i + 2 < len(c):
+            s[k | c[i + 2]] = s.get(k | c[i + 2], 0.0) + 1.0
+    norm = math.sqrt(sum(x * x for x in s.values()))
+    return {k: round(x / norm, 6) for k, x in s.items()}
+
+
+def _alike(texts: list[str], key: int, counts: np.ndarray, least: float) -> Iterator[tuple[int, int, float]]:
+    """(i, j, cosine) of texts whose rarest common gram is key."""
+    vectors = [_grams(t) for t in texts]
+    bits, unit = np.zeros((2, len(texts)), np.uint64), np.ones(len(texts))
+    for i, v in enumerate(vectors):
+        long = [k for k in v if k & 0x1FFFFF]
+        if long:
+            unit[i] = min(v[k] for k in long) ** 2
+            h = 0
+            for k in long:
+                h |= 1 << (k * 0x9E3779B97F4A7C15 >> 57 & 127)
+            bits[0, i], bits[1, i] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+    lacks = lambda x, y: sum(np.bitwise_count(w[x, None] & ~w[None, y]).astype(np.float32) for w in bits)
+    for i in range(0, len(texts), 64):
+        x = slice(i, i + 64)
+        for j in range(i, len(texts), 4096):
+            y = slice(j, j + 4096)
+            # what either has alone is no part of the product
+            most = np.maximum(1 - lacks(x, y) * unit[x, None], 0) * np.maximum(1 - lacks(y, x).T * unit[None, y], 0)
+            for u, v in zip(*(k.tolist() for k in np.nonzero(most >= (least - 1e-3) ** 2))):
+                if u + i < v + j:
+                    a, b = vectors[u + i], vectors[v + j]
+                    common = a.keys() & b.keys()
+                    cosine = round(sum(a[g] * b[g] for g in sorted(common)), 4)
+                    if cosine >= least:
+                        g = np.array(sorted(common), np.uint64)
+                        if int(g[np.argmin(counts[_counter(g)])]) == key:
+                            yield u + i, v + j, cosine
+
+
+def cosine_texts(texts: DataFrame, threshold: float = 0.85, summed: bool = False) -> DataFrame:
+    """(a, b, cosine): pairs of ids of texts (id, text) whose vectors (hash_embed by grams) have a cosine of threshold or more.
+
+    The commonest grams of a text whose norm is below the threshold are left out: the rarest gram that a pair shares is
+    in the rest of either.  Texts meet there, once; bitmaps of their grams bound the cosine of most, the others are
+    verified.  A text per rare gram is all that is shuffled.  summed: only as many pairs of each task as join the same."""
+    t = texts.where("text is not null and length(text) >= 2").select("text", "id")
+    keys = lambda x: _counter(np.fromiter(_grams(x), np.uint64))
+    shared = texts.sparkSession.sparkContext.broadcast(_counts(t.mapInArrow(lambda batches: _counted(batches, keys), "k bigint, n bigint")))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            idx, out = [], []
+            for i, x in enumerate(b.column(0).to_pylist()):
+                v = _grams(x)
+                k, w = np.fromiter(v, np.uint64), np.fromiter(v.values(), float)
+                order = np.lexsort((k, shared.value[_counter(k)]))[::-1]
+                head = k[order][np.sqrt(np.cumsum(w[order] ** 2)) >= threshold - 1e-3]
+                idx.append(np.full(len(head), i))
+                out.append(head)
+            if idx:
+                at = pa.array(np.concatenate(idx))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).astype(np.int64)), b.column(1).take(at), b.column(0).take(at)], names=["k", "id", "text"])
+
+    def meet(key: tuple, group: pa.Table) -> pa.Table:
+        ids = group["id"].to_pylist()
+        near = _alike(group["text"].to_pylist(), key[0].as_py(), shared.value, threshold)
+        found = [(i, j, None) for i, j in _forest(near, len(ids))[1]] if summed else list(near)
+        return pa.table({"a": pa.array([min(ids[i], ids[j]) for i, j, _ in found], pa.string()), "b": pa.array([max(ids[i], ids[j]) for i, j, _ in found], pa.string()), "cosine": pa.array([c for *_, c in found], pa.float64())})
+
+    return t.mapInArrow(spread, "k bigint, id string, text string").groupBy("k").applyInArrow(meet, "a string, b string, cosine double")
+
+
 def merge_similar(concepts: DataFrame, threshold: float = 0.85, more: DataFrame | None = None) -> DataFrame:
     """(id, component, n_links): classes of concepts joined by equal or similar names, and by the links `more` (a, b: ids) of vectors or a judge, transitively; n_links counts the similar names of the concept's own."""
     named = concepts.where("name is not null").select("id", F.lower(trim("name")).alias("name"))

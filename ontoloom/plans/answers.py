@@ -131,20 +131,19 @@ def context_text(s, d):
     return context.as_text(relevant_slice(s, d), sections)
 
 
-def _vectors(s, d):
-    c = concepts(s, d).where("name is not null").groupBy(F.lower("name").alias("text")).agg(F.min("id").alias("id"))
-    return con.hash_embed(c, None)
+def _texts(s, d):
+    return concepts(s, d).where("name is not null").groupBy(F.lower("name").alias("text")).agg(F.min("id").alias("id"))
 
 
 def merge_semantic(s, d):
     """Names of cosine 0.85 or more, each by its least concept; those from 0.75 on go to a judge, who without a model says no."""
-    links = con.cosine_links(_vectors(s, d), 0.85, 0.75)
+    links = cut(con.cosine_texts(cut(_texts(s, d)), 0.75))
     return models.judge(links, concepts(s, d).select("id", "name"))
 
 
 def merge_classes(s, d):
     """Transitive merge over equal names, edit similarity and cosine links."""
-    return con.merge_similar(concepts(s, d), more=con.cosine_links(_vectors(s, d)))
+    return con.merge_similar(concepts(s, d), more=con.cosine_links(con.hash_embed(_texts(s, d), None)))
 
 
 QUERIES = {q.__name__: q for q in (relations_of, properties_of, is_a_proofs, cf_subclass_lost, cf_subclass_gained, cf_relation_holders, cf_concept_effects, describe_inherited, find_paths, symbolic_answers, context_text, merge_semantic, merge_classes)}

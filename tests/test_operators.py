@@ -268,3 +268,18 @@ def test_pairs_of_similar_names_stay_in_their_task(spark):
     t = concepts.similar_names(spark.createDataFrame([(n,) for n in names], "name string"), 0.85, summed=True).collect()
     assert sum(x.b is not None for x in t) == 15 and len(t) == 31
     assert {x.a: x.n for x in t if x.b is None} == {n: 15 for n in names[:-1]}
+
+
+def test_texts_of_great_cosine_against_all_pairs(spark):
+    r = random.Random(5)
+    words = ["订单", "客户", "华东", "发票", "日", "月", "审核", "记录", "abc_", "order_"]
+    texts = sorted({"".join(r.choice(words) for _ in range(r.randrange(1, 7))) for _ in range(150)} | {"啊", "", "a" * 90, "a" * 95})
+    df = spark.createDataFrame([(f"i{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    v: dict = {}
+    for x in concepts.hash_embed(df, None).collect():
+        v.setdefault(x.id, {})[x.bucket] = x.weight
+    cos = {(a, b): round(sum(w * v[b].get(g, 0) for g, w in v[a].items()), 4) for a in v for b in v if a < b}
+    for least in (0.75, 0.85):
+        want = {p: c for p, c in cos.items() if c >= least}
+        got = concepts.cosine_texts(df, least).collect()
+        assert len(got) == len(want) and all(abs(want[x.a, x.b] - x.cosine) < 2e-4 for x in got)
