@@ -143,7 +143,7 @@ def merge_semantic(s, d):
 
 def merge_classes(s, d):
     """Transitive merge over equal names, edit similarity and cosine links."""
-    return con.merge_similar(concepts(s, d), more=con.cosine_links(con.hash_embed(_texts(s, d), None)))
+    return con.merge_similar(concepts(s, d), more=con.cosine_texts(cut(_texts(s, d)), 0.85, summed=True))
 
 
 QUERIES = {q.__name__: q for q in (relations_of, properties_of, is_a_proofs, cf_subclass_lost, cf_subclass_gained, cf_relation_holders, cf_concept_effects, describe_inherited, find_paths, symbolic_answers, context_text, merge_semantic, merge_classes)}

@@ -283,3 +283,5 @@ def test_texts_of_great_cosine_against_all_pairs(spark):
         want = {p: c for p, c in cos.items() if c >= least}
         got = concepts.cosine_texts(df, least).collect()
         assert len(got) == len(want) and all(abs(want[x.a, x.b] - x.cosine) < 2e-4 for x in got)
+        few = concepts.cosine_texts(df, least, summed=True).count()
+        assert 0 < few < len(want)
